@@ -41,8 +41,8 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {k: t for t, k in ranks.items()}
-        self.tails = {t[k:] for t in ranks for k in range(len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.tails = {t[k:]: -1 for t in ranks for k in range(len(t))} | ranks  # -1: only the tail of a token
+        self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -64,80 +64,90 @@ class Encoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a, b is the encoding of their bytes."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > KEPT:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        if len(self.pairs) > 2 * KEPT:
+            self.pairs.clear()
+        got = self.pairs[a << 32 | b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return got
 
-    def last(self, data: bytes | bytearray, j: int, table: list[int]) -> int:
-        """The last token of data[:j], table holding those of shorter prefixes (0 for none at 0)."""
-        i = j - 1
-        while i >= 0:
-            part = bytes(data[i:j])
-            if part not in self.tails:
-                break
-            t = self.ranks.get(part)
-            if t is not None and (self.fits(table[i], t) if i else self.stands(t)):
-                return t
-            i -= 1
-        raise ValueError(f"no token ends at byte {j}; the vocabulary lacks a byte")
+    def extend(self, data: bytes, table: list[int], to: int) -> None:
+        """Adds the last tokens of the prefixes of data up to length `to`; table holds those of shorter ones, -1 for the empty prefix."""
+        tails, pairs = self.tails.get, self.pairs
+        for j in range(len(table), to + 1):
+            for i in range(j - 1, -1, -1):
+                t = tails(data[i:j])
+                if t is None:
+                    raise ValueError(f"no token ends at byte {j}; the vocabulary lacks a byte")
+                if t >= 0:
+                    if not i:
+                        good = self.stands(t)
+                    elif (good := pairs.get(table[i] << 32 | t)) is None:
+                        good = self.fits(table[i], t)
+                    if good:
+                        table.append(t)
+                        break
+            else:
+                raise ValueError(f"no token ends at byte {j}; the vocabulary lacks a byte")
+
+    def read(self, table: list[int]) -> list[int]:
+        """The encoding, from the end."""
+        out, j = [], len(table) - 1
+        while j:
+            out.append(table[j])
+            j -= len(self.bytes_of[table[j]])
+        return out[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
         """A piece that is a token stays whole, as the library has it; else the table's encoding."""
         if data in self.ranks:
             return [self.ranks[data]]
-        return Table(self, data).ids()
+        table = [-1]
+        self.extend(data, table, len(data))
+        return self.read(table)
 
 
 class Table:
     """Last tokens of all prefixes of one piece of bytes."""
 
     def __init__(self, encoder: Encoder, data: bytes = b""):
-        self.encoder, self.data, self.last = encoder, bytearray(), [-1]
+        self.encoder, self.data, self.last = encoder, b"", [-1]
         self.append(data)
 
     def append(self, data: bytes) -> None:
         self.data += data
-        for j in range(len(self.last), len(self.data) + 1):
-            self.last.append(self.encoder.last(self.data, j, self.last))
+        self.encoder.extend(self.data, self.last, len(self.data))
 
     def edit(self, at: int, to: int, data: bytes) -> int:
         """Puts data in place of bytes at..to; returns how many entries were redone."""
         old, width = self.last[to:], max(map(len, self.encoder.ranks))
-        self.data[at:to] = data
+        self.data = self.data[:at] + data + self.data[to:]
         del self.last[at + 1 :]
         same = redone = 0
         for j in range(at + 1, len(self.data) + 1):
-            t = self.encoder.last(self.data, j, self.last)
-            self.last.append(t)
+            self.encoder.extend(self.data, self.last, j)
             redone += 1
             k = j - (at + len(data))
-            same = same + 1 if 0 < k < len(old) and old[k] == t else 0
-            if same >= width and len(self.encoder.bytes_of[t]) <= same:  # all that later entries look back on is as before
+            same = same + 1 if 0 < k < len(old) and old[k] == self.last[j] else 0
+            if same > width:  # all that later entries look back on is as before
                 self.last += old[k + 1 :]
                 break
         return redone
 
     def ids(self) -> list[int]:
-        out, j = [], len(self.data)
-        while j:
-            out.append(self.last[j])
-            j -= len(self.encoder.bytes_of[self.last[j]])
-        return out[::-1]
+        return self.encoder.read(self.last)
 
 
-class Pieces(dict):
-    """Decimal ids of each piece, joined by commas."""
+class Kept(dict):
+    """Remembers make(key) for the last KEPT to 2 * KEPT keys: the older half goes when the newer is full."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, make):
+        self.make, self.old = make, {}
 
-    def __missing__(self, piece: str) -> str:
-        if len(self) > KEPT:
+    def __missing__(self, key):
+        if len(self) >= KEPT:
+            self.old = dict(self)
             self.clear()
-        out = self[piece] = ",".join(map(str, self.encoder.encode_piece(piece.encode())))
+        got = self.old.get(key)
+        out = self[key] = self.make(key) if got is None else got
         return out
 
 
@@ -145,12 +155,13 @@ _LOADED: dict[str, tuple] = {}
 
 
 def loaded(path: str) -> tuple:
-    """Pieces, bytes of each decimal id, and the compiled pattern."""
+    """Ids of each piece (decimal, joined by commas), bytes of such ids, and the compiled pattern."""
     if path not in _LOADED:
         import public_tokenizers
 
         encoder = Encoder(load_ranks(path))
-        _LOADED[path] = (Pieces(encoder), {str(k): t for k, t in encoder.bytes_of.items()}, regex.compile(public_tokenizers.PATTERN))
+        pieces = Kept(lambda piece: ",".join(map(str, encoder.encode_piece(piece.encode()))))
+        _LOADED[path] = (pieces, Kept(lambda ids: b"".join(encoder.bytes_of[int(k)] for k in ids.split(","))), regex.compile(public_tokenizers.PATTERN))
     return _LOADED[path]
 
 
@@ -169,16 +180,16 @@ def parts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_text(text: str, path: str) -> Iterator[str]:
-    """The ids as decimal text, part by part; parts are to be joined by commas."""
+def encode_text(text: str, path: str) -> Iterator[list[str]]:
+    """Part by part, the ids of the part's pieces, as decimal text joined by commas."""
     pieces, _, pattern = loaded(path)
     for part in parts(text):
         if found := pattern.findall(part):
-            yield ",".join(map(pieces.__getitem__, found))
+            yield list(map(pieces.__getitem__, found))
 
 
-def decode_ids(ids: str, path: str) -> bytes:
-    return b"".join(map(loaded(path)[1].__getitem__, ids.split(","))) if ids else b""
+def decode_ids(ids: list[str], path: str) -> bytes:
+    return b"".join(map(loaded(path)[1].__getitem__, ids))
 
 
 def tokenize(docs: DataFrame, path: str | None = None, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -196,10 +207,11 @@ def tokenize(docs: DataFrame, path: str | None = None, keep: list[str] | None =
             count, ids_sha, text_sha, all_ids = [], [], [], []
             for text in b.column("__text"):
                 n, a, d, got = 0, hashlib.sha256(), hashlib.sha256(), []
-                for part in encode_text(text.as_py() or "", path):
-                    a.update(((b"," if n else b"") + part.encode()))
+                for pieces in encode_text(text.as_py() or "", path):
+                    part = ",".join(pieces)
+                    a.update((b"," if n else b"") + part.encode())
                     n += part.count(",") + 1
-                    d.update(decode_ids(part, path))
+                    d.update(decode_ids(pieces, path))
                     if with_ids:
                         got += map(int, part.split(","))
                 count.append(n)

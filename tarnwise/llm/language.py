@@ -1,7 +1,7 @@
 """Language ID by segmentation-marginalised unigrams.
 
 The vocabulary is the fixed piece list of a public tokenizer; nothing but the probability of each piece in each language is
-learned. A word (a run of letters, in lower case, behind the word mark) can be cut into pieces in many ways; its probability
+learned. A word (a run of letters, in lower case, behind the word mark; 32 letters of it at a time) can be cut into pieces in many ways; its probability
 is the sum over all of them, which the forward algorithm adds up from left to right. A text's score is the sum over its words.
 The piece probabilities come from expectation-maximisation over the words of labelled rows: each round, the forward-backward
 algorithm gives every piece its expected count in each language.
@@ -25,8 +25,10 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 
 from tarnwise.llm.common import materialize, ship
 
-SAMPLE, ROUNDS, LEAST = 10_000, 2, 0.01
-#: Words whose scores a worker keeps.
+SAMPLE, ROUNDS, LEAST = 4_000, 2, 0.01
+#: Letters of the widest piece, letters of a run that are scored at once, and the least probability of a piece.
+WIDE, LONG, FLOOR = 7, 32, 1e-9
+#: Tokens whose scores a worker keeps.
 KEPT = 300_000
 WORDS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -39,71 +41,67 @@ def vocabulary() -> str:
 
 
 class Lattice:
-    """The pieces of a vocabulary file as a prefix table. Piece 0 stands for any character that no piece has."""
+    """The pieces of a vocabulary file. Piece 0 is none; piece 1 stands for any character that no piece has."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = (sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k)))
-        pieces = sorted({p for p in normal if p == p.lower() and all(c == MARK or c.isalpha() for c in p)} | {MARK})
-        self.ids = {p: k for k, p in enumerate(pieces, 1)}
-        self.size = len(pieces) + 1
-        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p))}
-
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(from, to, piece) of every piece in the marked word, by start."""
-        s, out, ids, prefixes = MARK + word, [], self.ids, self.prefixes
-        n = len(s)
-        for i in range(n):
-            if s[i] not in ids:
-                out.append((i, i + 1, 0))
-            j = i + 1
-            while True:
-                part = s[i:j]
-                if (k := ids.get(part)) is not None:
-                    out.append((i, j, k))
-                if j == n or part not in prefixes:
-                    break
-                j += 1
+        pieces = sorted({p for p in normal if p == p.lower() and len(p) <= WIDE and all(c == MARK or c.isalpha() for c in p)} | {MARK})
+        self.ids = {p: k for k, p in enumerate(pieces, 2)}
+        self.size = len(pieces) + 2
+
+    def pieces(self, words: list[str]) -> np.ndarray:
+        """For words of one length n: piece [word, start, width - 1], 0 for none; starts count the mark before the word."""
+        n, get = len(words[0]) + 1, self.ids.get
+        spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + WIDE) + 1)]
+        out = np.zeros((len(words), n, WIDE), np.int32)
+        flat = np.array([[get(w[i:j], 0) for i, j in spans] for w in (MARK + w for w in words)], np.int32)
+        out[:, [i for i, _ in spans], [j - i - 1 for i, j in spans]] = flat
+        out[:, :, 0] = np.where(out[:, :, 0] == 0, 1, out[:, :, 0])
         return out
 
 
-def forward(edges: list[tuple[int, int, int]], n: int, p: list[float]) -> tuple[list[float], float]:
-    """Sums over all segmentations up to each place, scaled; and the logarithm of the scale."""
-    a, log = [0.0] * (n + 1), 0.0
-    a[0], at = 1.0, 0
-    for i, j, k in edges:
-        if i != at:
-            at = i
-            if a[i] < 1e-100:
-                by = 1 / a[i]
-                for x in range(i, min(n + 1, i + 64)):
-                    a[x] *= by
-                log -= math.log(by)
-        a[j] += a[i] * p[k]
-    return a, log
-
-
-def log_prob(edges: list[tuple[int, int, int]], n: int, p: list[float]) -> float:
-    a, log = forward(edges, n, p)
-    return math.log(a[n]) + log
-
-
-def expected(edges: list[tuple[int, int, int]], n: int, p: list[float]) -> dict[int, float]:
-    """Expected count of each piece, over all segmentations of one word."""
-    a, _ = forward(edges, n, p)
-    b, out = [0.0] * (n + 1), {}
-    b[n] = 1.0
-    for i, j, k in reversed(edges):
-        b[i] += p[k] * b[j]
-    if not (a[n] > 0 and b[0] > 0 and math.isfinite(b[0])) or n > 40:  # scales of a very long word differ: take its shares place by place
-        return {k: 1.0 for _, _, k in edges}
-    for i, j, k in edges:
-        out[k] = out.get(k, 0.0) + a[i] * p[k] * b[j] / a[n]
+def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """[word, place, ...]: the sum over all segmentations up to each place. p: [piece, ...], 0 for piece 0."""
+    words, n, _ = ids.shape
+    a = np.zeros((words, n + 1, *p.shape[1:]))
+    a[:, 0] = 1
+    for j in range(1, n + 1):
+        for w in range(1, min(WIDE, j) + 1):
+            a[:, j] += a[:, j - w] * p[ids[:, j - w, w - 1]]
+    return a
+
+
+def expected(ids: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected count of each piece over all segmentations of all words, each word counted `weight` times. p: [piece]."""
+    words, n, _ = ids.shape
+    a, b, out = forward(ids, p), np.zeros((words, n + 1)), np.zeros(len(p))
+    b[:, n] = 1
+    for i in range(n - 1, -1, -1):
+        for w in range(1, min(WIDE, n - i) + 1):
+            x = p[ids[:, i, w - 1]] * b[:, i + w]
+            b[:, i] += x
+            out += np.bincount(ids[:, i, w - 1], a[:, i] * x / a[:, n] * weight, len(p))
     return out
 
 
+def by_length(words: list[str], most: int = 2000) -> Iterator[list[int]]:
+    """Places of words of one length, `most` at a time."""
+    groups: dict[int, list[int]] = {}
+    for k, w in enumerate(words):
+        groups.setdefault(len(w), []).append(k)
+    for places in groups.values():
+        for k in range(0, len(places), most):
+            yield places[k : k + most]
+
+
+def runs(token: str) -> list[str]:
+    """The runs of letters in a token, those over LONG letters in parts of LONG."""
+    return [w[k : k + LONG] for w in WORDS.findall(token) for k in range(0, len(w), LONG)]
+
+
 _LATTICE: dict[str, Lattice] = {}
 
 
@@ -124,8 +122,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
-            for w, n in Counter(WORDS.findall(text.as_py().lower())).items():
-                total[lang, w] += n
+            for t, n in Counter(text.as_py().lower().split()).items():
+                for w in runs(t):
+                    total[lang, w] += n
         if len(total) > KEPT:
             yield flush()
     yield flush()
@@ -141,42 +140,80 @@ def fit(rows: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
     size = lattice(path).size
     p = np.full((len(langs), size), 1.0 / size)
+    p[:, 0] = 0
     at = {x: k for k, x in enumerate(langs)}
     for _ in range(ROUNDS if langs else 0):
-        shared = spark.sparkContext.broadcast(p.tolist())
+        shared = spark.sparkContext.broadcast(p)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             got = np.zeros((len(at), size))
             lat = lattice(path)
             for b in batches:
-                for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n"))):
-                    k = at[lang]
-                    for piece, x in expected(lat.edges(word), len(word) + 1, shared.value[k]).items():
-                        got[k, piece] += n * x
+                lang, word = (b.column(c).to_pylist() for c in ("lang", "word"))
+                n = b.column("n").to_numpy()
+                for x in langs:
+                    own = [k for k, y in enumerate(lang) if y == x]
+                    for part in by_length([word[k] for k in own]):
+                        part = [own[k] for k in part]
+                        got[at[x]] += expected(lat.pieces([word[k] for k in part]), shared.value[at[x]], n[part])
             lang, piece = np.nonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(piece), pa.array(got[lang, piece])], names=["l", "p", "x"])
 
         sums = words.mapInArrow(expect, "l long, p long, x double").groupBy("l", "p").agg(F.sum("x").alias("x")).toPandas()
         got = np.full(p.shape, LEAST)
         got[sums["l"].to_numpy(), sums["p"].to_numpy()] += sums["x"].to_numpy()
-        p = got / got.sum(1, keepdims=True)
+        p = np.maximum(got / got.sum(1, keepdims=True), FLOOR)
+        p[:, 0] = 0
     return langs, p
 
 
-class Scores(dict):
-    """Row of each word in a table of log-probabilities by language; starts anew when KEPT words are in it."""
+class Scores:
+    """Log-probabilities of white-space tokens by language, and whether a token has a letter; starts anew beyond KEPT tokens."""
 
-    def __init__(self, path: str, p: list[list[float]]):
-        self.lat, self.p = lattice(path), p
-        self.table = np.zeros((1 << 12, len(p)))
+    def __init__(self, path: str, p: np.ndarray):
+        self.lat, self.p, self.at = lattice(path), np.ascontiguousarray(p.T), {}
+        self.table = np.zeros((1 << 14, len(p) + 1))
 
-    def __missing__(self, word: str) -> int:
-        at, edges = len(self), self.lat.edges(word)
-        if at == len(self.table):
+    def add(self, tokens: list[str]) -> None:
+        first = len(self.at)
+        while first + len(tokens) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = [log_prob(edges, len(word) + 1, p) for p in self.p]
-        self[word] = at
-        return at
+        self.table[first : first + len(tokens)] = 0
+        self.at.update(zip(tokens, range(first, first + len(tokens))))
+        words, row = [], []
+        for k, t in enumerate(tokens, first):
+            for w in (t,) if t.isalpha() and len(t) <= LONG else runs(t):
+                words.append(w)
+                row.append(k)
+        for part in by_length(words):
+            got = np.log(forward(self.lat.pieces([words[k] for k in part]), self.p)[:, -1])
+            letters = np.array([any(map(str.isalpha, words[k])) for k in part], float)
+            np.add.at(self.table, [row[k] for k in part], np.column_stack([got, letters]))
+
+    def total(self, text: str) -> np.ndarray:
+        """Sums over the tokens of text: a log-probability for each language, then the runs that have a letter."""
+        out = np.zeros(self.table.shape[1])
+        tokens = text.split()
+        for k in range(0, len(tokens), 1 << 16):
+            part = tokens[k : k + (1 << 16)]
+            if len(self.at) > KEPT:
+                self.at.clear()
+            ids = list(map(self.at.get, part))
+            if None in ids:
+                self.add(list({t for t, x in zip(part, ids) if x is None}))
+                ids = list(map(self.at.__getitem__, part))
+            out += self.table[ids].sum(0)
+        return out
+
+    def learn(self, texts: list[str]) -> None:
+        """Takes up the new tokens of all texts at once."""
+        if len(self.at) > KEPT:
+            self.at.clear()
+        new: set[str] = set()
+        for x in texts:
+            new.update(x.split())
+        new.difference_update(self.at)
+        self.add(list(new))
 
 
 _SCORES: dict[int, Scores] = {}  # by the identity of the broadcast value, which lives as long as the entry
@@ -193,7 +230,7 @@ def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str
     ship(docs.sparkSession)
     path = path or vocabulary()
     langs, p = fit(train.where("text is not null and lang is not null"), path, sample)
-    shared = docs.sparkSession.sparkContext.broadcast(p.tolist())
+    shared = docs.sparkSession.sparkContext.broadcast(p)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,22 +241,18 @@ def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str
         known = _SCORES[key]
         for b in batches:
             pred, score = [], []
-            for text in b.column("text"):
-                text = text.as_py()
-                words = WORDS.findall(text.lower()) if text and langs else []
-                if not words or not (any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)):
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                total = np.zeros(len(langs))
-                for k in range(0, len(words), 1 << 16):
-                    if len(known) > KEPT:
-                        known.clear()
-                    ids = list(map(known.__getitem__, words[k : k + (1 << 16)]))
-                    total += known.table[ids].sum(0)
-                best = int(total.argmax())
-                pred.append(langs[best])
-                score.append(float(1 / np.exp(total - total[best]).sum()))
+            for lo in range(0, b.num_rows, 256):
+                texts = [(x or "").lower() for x in b.column("text").slice(lo, 256).to_pylist()]
+                known.learn(texts)
+                for text in texts:
+                    total = known.total(text)
+                    if not total[-1] or not langs:
+                        pred.append("und")
+                        score.append(0.0)
+                        continue
+                    best = int(total[:-1].argmax())
+                    pred.append(langs[best])
+                    score.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     rows = docs.select(*names)
