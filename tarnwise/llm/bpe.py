@@ -12,6 +12,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -213,13 +214,16 @@ def tokenize(docs: DataFrame, path: str | None = None, keep: list[str] | None =
                     n += part.count(",") + 1
                     d.update(decode_ids(pieces, path))
                     if with_ids:
-                        got += map(int, part.split(","))
+                        got.append(np.fromstring(part, np.int32, sep=","))
                 count.append(n)
                 ids_sha.append(a.hexdigest())
                 text_sha.append(d.hexdigest())
-                all_ids.append(got)
+                all_ids.append(np.concatenate(got) if got else np.zeros(0, np.int32))
             cols = [*(b.column(c) for c in keep), pa.array(count, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids)
+            if with_ids:
+                starts = np.cumsum([0, *map(len, all_ids)], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids]))))
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids)
 
     schema = rows.select(*keep).schema.add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
     return rows.mapInArrow(run, schema.add("token_ids", ArrayType(IntegerType())) if with_ids else schema)
