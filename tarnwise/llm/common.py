@@ -141,18 +141,21 @@ def slices(texts: list[bytes], most: int = SLICE) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of all texts, one after another, and the number of words of each."""
-    parts, counts = [], np.zeros(len(texts), np.int64)
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes and the lengths in bytes of the words of all texts, one after another, and the number of words of each text."""
+    parts, sizes, counts = [], [], np.zeros(len(texts), np.int64)
     for lo, hi in slices(texts):
         if hi - lo == 1:
             for part in cut(texts[lo]):
-                h = words_in(part)[2]
+                start, end, h = words_in(part)
                 parts.append(h)
+                sizes.append(end - start)
                 counts[lo] += len(h)
             continue
-        start, _, h = words_in(b" ".join(texts[lo:hi]))
+        start, end, h = words_in(b" ".join(texts[lo:hi]))
         ends = np.cumsum([len(x) + 1 for x in texts[lo:hi]])
         counts[lo:hi] = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
         parts.append(h)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
+        sizes.append(end - start)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([none[0], *parts]), np.concatenate([none[1], *sizes]), counts
