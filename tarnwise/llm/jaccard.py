@@ -6,6 +6,9 @@ A document's anchors are the first n - ceil(0.75 n) + 1 of its n shingles in one
 share an anchor. Of the documents with an anchor the least one is its pivot, and all of them belong to the pivot's region: a
 document lies in the region of every pivot that it shares an anchor with, so a linked pair always meets.
 
+A sieve drops the documents of a region that can't link with any other of it: their counts of shingles by hash class, a thirtieth
+of the size of their sets, bound the distance from below. The sets of the others are sent to the region's tasks.
+
 Each region is joined exactly: four of its documents are pivots of smaller regions; a document goes to that of its nearest
 pivot, and to every other whose distance is within 2 EPS of the nearest (a linked document's nearest pivot can't be further
 away). That recurs until regions are small or don't shrink; then pairs are compared, but for those whose distances to a pivot
@@ -66,10 +69,83 @@ def digest(x: np.ndarray) -> tuple[int, int]:
         return int(x.sum(dtype=np.uint64).astype(np.int64)), int(mix(x ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64).astype(np.int64))
 
 
+def levels(n: int) -> int:
+    """Binary logarithm of the number of a document's hash classes, four to eight shingles in each."""
+    return max(3, (n // 4).bit_length() - 1)
+
+
+def signature(x: np.ndarray) -> bytes:
+    """How many shingles are in each hash class, 255 at most."""
+    k = 1 << levels(len(x))
+    return np.minimum(np.bincount((x & np.uint64(k - 1)).astype(np.int64), minlength=k), 255).astype(np.uint8).tobytes()
+
+
+def sieve(sizes: list[int], signatures: list[bytes]) -> np.ndarray:
+    """Which of some documents may link with another of them.
+
+    Hash classes are pivots of the symmetric-difference metric: |x - y| + |y - x| is no less than the sum over all classes of
+    the difference of the two counts, and is (|x| + |y|) / 7 at most where the Jaccard similarity is 0.75 or more.
+    """
+    order = np.argsort(sizes, kind="stable")
+    n = np.array(sizes)[order]
+    level = [levels(k) for k in n.tolist()]
+    own = [np.frombuffer(signatures[k], np.uint8).astype(np.int16) for k in order.tolist()]
+    half = [h.reshape(2, -1).sum(0) for h in own]
+    out = np.zeros(len(n), bool)
+    stop = np.searchsorted(n, n * 100 // PERCENT, "right")
+    for k, (size, lev, to) in enumerate(zip(n.tolist(), level, stop.tolist())):
+        for lo in range(k + 1, to, 512):
+            most = min(to, lo + 512)
+            others = np.stack([own[j] if level[j] == lev else half[j] for j in range(lo, most)])
+            near = 7 * np.abs(others - own[k]).sum(1, dtype=np.int64) <= size + n[lo:most]
+            out[lo:most] |= near
+            out[k] |= near.any()
+    back = np.zeros(len(n), bool)
+    back[order] = out
+    return back
+
+
+def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pivot, i, j, node, n, signature) of one task after another; those (pivot, node) that the sieve leaves."""
+    now, rows, out = None, [], []
+
+    def close() -> None:
+        if len(rows) > 1:
+            keep = sieve([r[1] for r in rows], [r[2] for r in rows])
+            out.extend((now[0], r[0], r[1]) for r, k in zip(rows, keep) if k)
+        rows.clear()
+
+    def flush() -> pa.RecordBatch:
+        cols = zip(*out) if out else ([], [], [])
+        got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()))], names=["pivot", "node", "n"])
+        out.clear()
+        return got
+
+    for b in batches:
+        cols = {c: b.column(c).to_pylist() for c in ("pivot", "i", "j", "node", "n", "signature")}
+        for key, row in zip(zip(cols["pivot"], cols["i"], cols["j"]), zip(cols["node"], cols["n"], cols["signature"])):
+            if key != now:
+                close()
+                now = key
+            rows.append(row)
+        if len(out) > 50_000:
+            yield flush()
+    close()
+    yield flush()
+
+
+def placed(cells: DataFrame) -> DataFrame:
+    """cells (pivot, node, n) with task numbers i <= j. A region's blocks hold about LARGE shingles; block k meets every block, alone it meets itself."""
+    load = cells.groupBy("pivot").agg(F.ceil(F.sum(F.col("n").cast("long")) / LARGE).cast("int").alias("blocks"))
+    dealt = cells.join(load, "pivot").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("pivot", "node", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"))
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (doc_id, n, hi, lo) and of shingles that are frequent here (s, c)."""
-    names = ["doc_id", "n", "hi", "lo", "s", "c"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    """Rows of documents (doc_id, n, hi, lo, signature) and of shingles that are frequent here (s, c)."""
+    names = ["doc_id", "n", "hi", "lo", "signature", "s", "c"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     for b in batches:
         texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
         for lo, hi in slices([x or "" for x in texts], BATCH):
@@ -78,7 +154,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             distinct = {k: x for k, x in zip(keys, sets)}
             s, c = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
             s, c = s[c >= OFTEN].view(np.int64), c[c >= OFTEN]
-            docs = [ids[lo:hi], [len(x) for x in sets], [k[0] for k in keys], [k[1] for k in keys]]
+            docs = [ids[lo:hi], [len(x) for x in sets], [k[0] for k in keys], [k[1] for k in keys], [signature(x) for x in sets]]
             pad = [None] * len(s)
             cols = [*(x + pad for x in docs), [None] * (hi - lo) + s.tolist(), [None] * (hi - lo) + c.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=names)
@@ -211,8 +287,8 @@ def components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = materialize(rows.mapInArrow(_profile, "doc_id long, n int, hi long, lo long, s long, c long"))
-    known = profile.where("n is not null").select("doc_id", "n", "hi", "lo")
+    profile = materialize(rows.mapInArrow(_profile, "doc_id long, n int, hi long, lo long, signature binary, s long, c long"))
+    known = profile.where("n is not null").select("doc_id", "n", "hi", "lo", "signature")
     frequent = profile.where("c is not null").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
     late = spark.sparkContext.broadcast(bitmap(frequent, "s", BITS))
 
@@ -241,7 +317,11 @@ def components(docs: DataFrame) -> DataFrame:
     found = rows.where("doc_id is not null").mapInArrow(anchors, "s long, node long, n int")
     met = found.selectExpr("s", "node", "n", "min(node) over (partition by s) pivot", "max(node) over (partition by s) last").where("pivot <> last")
     cells = materialize(met.select("pivot", "node", "n").distinct())
-    reps = known.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
+    seen = known.where("n > 0 and doc_id is not null")
+    signed = seen.groupBy(F.col("lo").alias("node"), "hi", "n").agg(F.min("signature").alias("signature")).drop("hi")
+    tested = placed(cells).join(signed, "node").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").select("pivot", "i", "j", "node", "n", "signature")
+    cells = materialize(tested.mapInArrow(_sieved, "pivot long, node long, n int").distinct())
+    reps = seen.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
     wanted = reps.join(cells.select(F.col("node").alias("lo")).distinct(), "lo", "left_semi").select("rep")
     asked = spark.sparkContext.broadcast(bitmap(wanted, "rep", BITS))
 
@@ -258,16 +338,11 @@ def components(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array([digest(x)[1] for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "node", "shingles"])
 
     held = rows.where("doc_id is not null").mapInArrow(sets, "doc_id long, node long, shingles binary")
-    load = cells.groupBy("pivot").agg(F.ceil(F.sum(F.col("n").cast("long")) / LARGE).cast("int").alias("blocks"))
-    placed = cells.join(load, "pivot").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # block k meets every block, the lesser number first; alone it meets itself
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("pivot", "node", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"))
-    tasks = placed.join(held, "node").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "doc_id").select("pivot", "i", "j", "doc_id", "shingles")
+    tasks = placed(cells).join(held, "node").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "doc_id").select("pivot", "i", "j", "doc_id", "shingles")
     links = tasks.mapInArrow(_regions, "a long, b long")
-    alike = known.join(reps, ["hi", "lo", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).where("doc_id <> rep")
+    alike = known.drop("signature").join(reps, ["hi", "lo", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).where("doc_id <> rep")
     joined = connected(links.unionByName(alike.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    return known.join(joined, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return known.drop("signature").join(joined, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
