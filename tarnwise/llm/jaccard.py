@@ -7,9 +7,10 @@ share an anchor. Of the documents with an anchor the least one is its pivot, and
 document lies in the region of every pivot that it shares an anchor with, so a linked pair always meets.
 
 A sieve drops the documents of a region that can't link with any other of it: their counts of shingles by hash class, a thirtieth
-of the size of their sets, bound the distance from below. The sets of the others are sent to the region's tasks.
+of the size of their sets, bound the distance from below. What is left falls into parts that can't link with each other; a part
+that several regions have is taken once, and only now are the sets sent to the tasks.
 
-Each region is joined exactly: four of its documents are pivots of smaller regions; a document goes to that of its nearest
+Each part is joined exactly: four of its documents are pivots of smaller regions; a document goes to that of its nearest
 pivot, and to every other whose distance is within 2 EPS of the nearest (a linked document's nearest pivot can't be further
 away). That recurs until regions are small or don't shrink; then pairs are compared, but for those whose distances to a pivot
 differ by more than EPS and those known to be connected. A region over LARGE shingles is dealt out as blocks: every pair of
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ def signature(x: np.ndarray) -> bytes:
 
 
 def sieve(sizes: list[int], signatures: list[bytes]) -> np.ndarray:
-    """Which of some documents may link with another of them.
+    """Parts of some documents: -1 for one that can't link with another of them; documents that may link are in the same part.
 
     Hash classes are pivots of the symmetric-difference metric: |x - y| + |y - x| is no less than the sum over all classes of
     the difference of the two counts, and is (|x| + |y|) / 7 at most where the Jaccard similarity is 0.75 or more.
@@ -91,28 +93,33 @@ def sieve(sizes: list[int], signatures: list[bytes]) -> np.ndarray:
     level = [levels(k) for k in n.tolist()]
     own = [np.frombuffer(signatures[k], np.uint8).astype(np.int16) for k in order.tolist()]
     half = [h.reshape(2, -1).sum(0) for h in own]
-    out = np.zeros(len(n), bool)
+    part, alone = np.arange(len(n)), np.ones(len(n), bool)
     stop = np.searchsorted(n, n * 100 // PERCENT, "right")
     for k, (size, lev, to) in enumerate(zip(n.tolist(), level, stop.tolist())):
         for lo in range(k + 1, to, 512):
             most = min(to, lo + 512)
             others = np.stack([own[j] if level[j] == lev else half[j] for j in range(lo, most)])
-            near = 7 * np.abs(others - own[k]).sum(1, dtype=np.int64) <= size + n[lo:most]
-            out[lo:most] |= near
-            out[k] |= near.any()
-    back = np.zeros(len(n), bool)
-    back[order] = out
+            near = lo + np.flatnonzero(7 * np.abs(others - own[k]).sum(1, dtype=np.int64) <= size + n[lo:most])
+            if len(near):
+                alone[near] = alone[k] = False
+                for p in np.unique(part[near][part[near] != part[k]]):
+                    part[part == p] = part[k]
+    back = np.empty(len(n), np.int64)
+    back[order] = np.where(alone, -1, part)
     return back
 
 
 def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pivot, i, j, node, n, signature) of one task after another; those (pivot, node) that the sieve leaves."""
+    """Rows (pivot, i, j, node, n, signature) of one task after another; the parts that the sieve leaves, each under a number that follows from its nodes."""
     now, rows, out = None, [], []
 
     def close() -> None:
         if len(rows) > 1:
-            keep = sieve([r[1] for r in rows], [r[2] for r in rows])
-            out.extend((now[0], r[0], r[1]) for r, k in zip(rows, keep) if k)
+            part = sieve([r[1] for r in rows], [r[2] for r in rows])
+            for p in np.unique(part[part >= 0]):
+                own = [rows[k] for k in np.flatnonzero(part == p)]
+                key = xxhash.xxh3_64_intdigest(np.sort(np.array([r[0] for r in own])).tobytes()) - (1 << 63)
+                out.extend((key, r[0], r[1]) for r in own)
         rows.clear()
 
     def flush() -> pa.RecordBatch:
