@@ -4,13 +4,138 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-_QUERIES: dict[str, Callable] = {}
-_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tarnwise.plans.dialect import CHECK, SPARK, Dialect
+from tarnwise.plans.relations import CUTOFF, DAYS, OFFSETS, YEARS, resolve
 
-def queries() -> dict[str, Callable]:
-    return dict(_QUERIES)
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents")
+
+
+def _round(*cols: str, digits: int = 8) -> str:
+    """Rounded doubles without negative zeros."""
+    return ", ".join(f"round({c.split(' ')[0]}, {digits}) + 0.0e0 {c.split(' ')[-1]}" for c in cols)
+
+
+def texts(d: Dialect) -> dict[str, str]:
+    one = "partition by code order by dt"
+    up = "rows between unbounded preceding and current row"
+    q = {}
+    # sources and panel
+    q["panel_vwap"] = f"select code, dt, {_round('close')} from panel"
+    q["panel_cutoff"] = f"select code, dt, {_round('close')} from panel where dt <= cast('{CUTOFF}' as date)"
+    q["panel_densify"] = f"select code, dt, {_round('close')} from dense"
+    q["panel_ffill"] = f"select code, dt, {_round('f')} from filled"
+    q["panel_wide"] = "select dt, count(close) n_priced, " + ", ".join(f"round(max(case when k = {k} then close end), 8) c{k}" for k in range(1, 7)) + " from (select d.*, dense_rank() over (order by code) k from (select code, dt, close from dense) d) x group by dt"
+    q["returns_engine"] = f"select code, dt, {_round('r')} from returns where r is not null"
+    q["returns_positional"] = f"select code, dt, {_round('r')} from stepwise where r is not null"
+    q["growth_index"] = f"select code, dt, {_round('g')} from growth"
+    q["coverage_first_full_date"] = "select min(dt) dt from (select dt from panel group by dt having count(*) = (select count(*) from instruments)) x"
+    # schedules
+    for o in OFFSETS:
+        q[f"schedule_monthly_off{o}"] = f"select dt from monthly where off = {o}"
+    q["schedule_monthly_off99"] = "select dt from ranked where k = least(100, n)"
+    q["schedule_weekly"] = "select dt from weekly"
+    # strategy and simulation
+    q["passive_targets"] = f"select off, decided, code, {_round('w')} from targets"
+    q["normalize_weights"] = f"select decided, code, {_round('w')} from (select decided, code, greatest(x, 0) / greatest(sum(greatest(x, 0)) over (partition by decided), 1) w from (select decided, code, w * 3 - 0.4e0 x from targets where off = 0) a) b where w > 0"
+    q["transit_weights"] = f"select off, dt, code, round(least(new, old), 8) + 0.0e0 w from trades where least(new, old) > 0"
+    q["backtest_gross"] = f"select off, dt, {_round('gross')} from gross"
+    q["backtest_turnover"] = f"select off, dt, {_round('turnover')} from turnover"
+    q["backtest_net_single"] = f"select off, dt, {_round('net')} from net where profile = 'single'"
+    q["backtest_net_double"] = f"select off, dt, {_round('net')} from net where profile = 'double'"
+    q["backtest_equity"] = f"select off, profile, dt, {_round('equity', digits=6)} from equity"
+    q["backtest_holdings"] = "select off, dt, code, round(new, 8) + 0.0e0 w from trades where new > 0"
+    q["double_cost_gap"] = "select a.off, round(sum(a.net - b.net), 8) + 0.0e0 gap, round(sum(a.turnover) * 0.0006e0, 8) + 0.0e0 expected from net a join net b on a.off = b.off and a.dt = b.dt where a.profile = 'single' and b.profile = 'double' group by a.off"
+    # metrics
+    cols = ("annual", "before_cost", "bench", "vol", "sharpe", "sharpe_no_rf", "sortino", "mdd", "turnover", "ir", "excess", "calmar")
+    q["metrics_by_run"] = f"select off, profile, y, n, {_round(*cols, digits=6)} from wide"
+    q["passive_scorecard"] = f"select y, n, {_round('annual', 'vol', 'sharpe', 'mdd', 'turnover', digits=6)} from wide where off = 0 and profile = 'single'"
+    q["sortino"] = f"select off, profile, y, {_round('sortino', digits=6)} from wide"
+    q["info_ratio"] = f"select off, profile, y, {_round('ir', digits=6)} from wide"
+    q["drawdown_path"] = f"select off, profile, y, dt, {_round('dd')} from drops"
+    q["monthly_win_rate"] = "select off, profile, y, round(avg(case when p > 1 then 1.0e0 else 0 end), 8) + 0.0e0 win_rate from months group by off, profile, y"
+    q["regime_label"] = "select code, dt, label from regimes"
+    q["regime_report"] = f"select x.label, count(t.net) n_days, round(coalesce(avg(t.net), 0) * {DAYS}, 6) + 0.0e0 mean_net, round(coalesce(avg(t.net - t.b), 0) * {DAYS}, 6) + 0.0e0 mean_excess, round(coalesce(avg(t.turnover), 0) * {DAYS}, 6) + 0.0e0 turnover from (select 'bull' label union all select 'bear' union all select 'sideways') x left join (select t.*, r.label from tested t join regimes r on r.dt = t.dt join (select min(code) code from instruments) c on c.code = r.code where t.off = 0 and t.profile = 'single') t on t.label = x.label group by x.label"
+    # evaluation protocol
+    q["walk_forward_windows"] = f"select off, y, profile, min(dt) first_day, max(dt) last_day, count(*) n from tested group by off, y, profile having count(*) >= 20"
+    stab = ("mean_annual", "median_annual", "std_annual", "mean_excess", "best", "worst", "positive", "beats", "worst_drawdown", "sharpe_mean", "calmar_mean", "turnover_mean")
+    for p in ("single", "double"):
+        q[f"stability_{p}"] = f"select profile, {_round(*stab, digits=6)} from stability where profile = '{p}'"
+    q["timing_luck"] = f"select profile, offsets, {_round('mean_annual', 'std_annual', 'min_annual', 'max_annual', 'std_mdd', 'std_sharpe', digits=6)} from luck"
+    q["continuous_path"] = f"select off, profile, {_round('mdd', 'annual', digits=6)} from (select off, profile, min(dd) mdd, power(max(last_e), {DAYS} / cast(max(n) as double)) - 1 annual from (select off, profile, e / max(e) over (partition by off, profile order by dt {up}) - 1 dd, case when row_number() over (partition by off, profile order by dt desc) = 1 then e end last_e, count(*) over (partition by off, profile) n from stitched) x group by off, profile) z"
+    q["worst_path"] = "select profile, off, round(mdd, 6) + 0.0e0 mdd from (select profile, off, mdd, row_number() over (partition by profile order by mdd, off) k from (select off, profile, min(dd) mdd from (select off, profile, e / max(e) over (partition by off, profile order by dt rows between unbounded preceding and current row) - 1 dd from stitched) x group by off, profile) y) z where k = 1"
+    q["scrutiny_triggers"] = "select 'high sharpe' flag from stability where profile = 'single' and sharpe_mean > 1.5 union all select 'high excess' from stability where profile = 'single' and mean_excess > 0.02 union all select 'identical offsets' from luck where profile = 'single' and offsets > 1 and std_annual < 1e-9 union all select 'offsets disagree' from luck where profile = 'single' and std_annual > 0.01 union all select 'identical tiers' from stability a join stability b on a.profile = 'single' and b.profile = 'double' where abs(a.mean_annual - b.mean_annual) < 1e-9"
+    q["limitations"] = "select 'offsets' item, 'weekly schedule takes the first of several offsets' reason, count(*) n from offsets having count(*) > 1"
+    q["year_offset_pivot"] = "select y, " + ", ".join(f"round(avg(case when off = {o} then annual end), 6) + 0.0e0 off{o}" for o in OFFSETS) + " from wide where profile = 'single' group by y"
+    q["ship_gate"] = "select a.profile, a.mean_excess > 0 and a.positive >= 0.5 and a.worst_drawdown > -0.5 pass from stability a"
+    # data quality
+    q["qc_implied_yield"] = "select f.code, count(*) n, " + "round(power(exp(sum(case when abs(step - 1) > 0.25 then 0 else ln(step) end)), 1 / max(s.yrs)) - 1, 6) + 0.0e0 implied, sum(case when abs(step - 1) > 0.25 then 1 else 0 end) undeclared from factors f join spans s on s.code = f.code where step is not null group by f.code having count(*) >= 250"
+    q["qc_magnitude"] = "select code, round(power(last_close / first_close, 1 / yrs) - 1, 6) + 0.0e0 cagr, abs(power(last_close / first_close, 1 / yrs) - 1) > 0.35 bad from ends where n >= 250"
+    q["qc_split_jumps"] = "select p.code, p.dt, x.t target, round(p.close / p.prev, 6) + 0.0e0 ratio from present p cross join (select 0.1e0 t union all select 0.25e0 union all select 1 / 3.0e0 union all select 0.5e0 union all select 2.0e0 union all select 3.0e0 union all select 4.0e0 union all select 10.0e0) x where abs(p.close / p.prev - x.t) / x.t < 0.02"
+    q["qc_gaps"] = "select s.code, count(c.dt) span_days, max(s.n) n, (count(c.dt) - max(s.n)) / cast(count(c.dt) as double) > 0.02 bad from spans s join calendar c on c.dt >= s.a and c.dt <= s.z group by s.code"
+    q["qc_generic"] = "select code, count(*) - count(distinct dt) duplicates, sum(case when close <= 0 then 1 else 0 end) non_positive from panel group by code"
+    q["qc_price_limits"] = "select code, year(dt) y, count(*) n, round(max(r), 6) + 0.0e0 worst_up, round(min(r), 6) + 0.0e0 worst_down from stepwise where abs(r) > 0.05 + 0.005 group by code, year(dt)"
+    q["qc_price_limit_first_dates"] = "select code, dt from (select code, dt, row_number() over (partition by code order by dt) k from stepwise where abs(r) > 0.055) x where k <= 20"
+    q["qc_flat_runs"] = f"select code, max(n) longest from (select code, run, count(*) n from (select code, dt, sum(case when close = prev then 0 else 1 end) over ({one} {up}) run from present) x group by code, run) y group by code"
+    q["qc_calendar_gaps"] = f"select code, max({{days}}) longest from present where prev_dt is not null group by code".replace("{days}", d.days("dt", "prev_dt"))
+    q["qc_adjustment_monotone"] = "select code, min(step) >= 0.995 ok, count(*) n from factors where step is not null and abs(step - 1) <= 0.25 group by code"
+    q["qc_redenominations"] = "select code, dt, round(step, 6) + 0.0e0 step from factors where abs(step - 1) > 0.25"
+    q["qc_coverage"] = "select s.code, s.a first_day, s.z last_day, s.n from spans s"
+    q["total_return_rebuild"] = f"select code, dt, round(i / max(case when k = n then i end) over (partition by code) * max(case when k = n then close end) over (partition by code), 6) + 0.0e0 tr from (select code, dt, close, k, n, {d.product('coalesce(case when k % 90 = 0 then (close + close * 0.01e0) / prev else close / prev end, 1)', f'{one} {up}')} i from present) x"
+    # tracking
+    snap = "(select t.decided signal, t.code, t.w, floor(t.w * 100000 / p.close / 10) * 10 units, p.close px from targets t join panel p on p.code = t.code and p.dt = t.decided where t.off = 0)"
+    q["snapshot_orders"] = f"select signal, code, round(w, 6) + 0.0e0 w, cast(units as bigint) units, round(px, 6) + 0.0e0 px from {snap} s"
+    q["snapshot_cash"] = f"select signal, round(100000 - sum(units * px), 4) + 0.0e0 cash, sum(case when units = 0 then 1 else 0 end) zero_orders, (100000 - sum(units * px)) / 100000 > 0.02 idle from {snap} s group by signal"
+    q["reconcile_data"] = f"select s.signal, s.code, case when p.close is null then 'MISSING' else 'CHANGED' end status from {snap} s left join panel p on p.code = s.code and p.dt = s.signal where p.close is null or abs(case when s.code = (select min(code) from instruments) then 1.1e0 else 1 end * s.px / p.close - 1) > 0.001"
+    q["reconcile_execution"] = f"select signal, round(max(abs(units * px / 100000 - w)), 8) + 0.0e0 max_drift, round(1 - sum(units * px) / 100000, 8) + 0.0e0 idle from {snap} s group by signal"
+    nxt = "(select decided signal, lead(decided) over (order by decided) until from (select distinct decided from targets where off = 0) a)"
+    q["reconcile_strategy"] = f"select s.signal, round(sum(s.w * (e.close / s.px - 1)) - 0.0006 * sum(s.w), 8) + 0.0e0 weight_return, round((sum(s.units * e.close) + 100000 - sum(s.units * s.px) - 0.0006 * sum(s.units * s.px)) / 100000 - 1, 8) + 0.0e0 paper_return, max(i.until) until from {snap} s join {nxt} i on i.signal = s.signal join panel e on e.code = s.code and e.dt = i.until group by s.signal"
+    # research
+    q["n_eff"] = "select cast(count(distinct code_a) as bigint) n, round(power(count(distinct code_a), 2) / sum(rho * rho), 6) + 0.0e0 n_eff from corrs"
+    q["pair_correlations"] = "select code_a, code_b, round(rho, 6) + 0.0e0 rho from corrs where code_a < code_b"
+    q["exposure_corr"] = "select round(corr(a.net / 0.9e0, b.net / 0.9e0), 6) + 0.0e0 rho from net a join net b on a.dt = b.dt where a.off = 0 and b.off = 5 and a.profile = 'single' and b.profile = 'single' and a.turnover >= 0"
+    q["drawdown_corr"] = "select a.y, round(corr(a.net, a.b), 6) + 0.0e0 rho, count(*) n from drops a where a.off = 0 and a.profile = 'single' and a.dd < 0 group by a.y"
+    q["asymmetry"] = "select y, round(regr_slope(case when b > 0 then net end, case when b > 0 then b end) - regr_slope(case when b < 0 then net end, case when b < 0 then b end), 6) + 0.0e0 asymmetry from tested where off = 0 and profile = 'single' group by y"
+    q["realization_rate"] = f"select o.off, round(o.annual / i.annual, 6) + 0.0e0 rate from (select off, avg(annual) annual from wide where profile = 'single' and y >= 1999 group by off) o join (select off, avg(annual) annual from wide where profile = 'single' and y < 1999 group by off) i on i.off = o.off"
+    q["diversification_ratio"] = "select round(avg(v) / max(pv), 6) + 0.0e0 ratio from (select code, stddev_pop(r) v from returns where r is not null group by code) a cross join (select stddev_pop(x) pv from (select dt, avg(r) x from returns where r is not null group by dt) b) c"
+    q["ic_tstat"] = "select count(*) n, round(avg(ic), 6) + 0.0e0 ic, round(avg(ic) / (stddev_samp(ic) / sqrt(count(*))), 5) + 0.0e0 t from ics where ic is not null and ic = ic"
+    q["exposure_profile"] = "select off, round(avg(w), 6) + 0.0e0 avg_exposure, round(avg(case when w = 0 then 1.0e0 else 0 end), 6) + 0.0e0 share_zero from (select y.off, y.dt, coalesce(sum(h.v), 0) w from runs_by_day y left join held h on h.off = y.off and h.dt = y.dt group by y.off, y.dt) x group by off"
+    q["oos_spearman"] = "select round(corr(cast(a as double), cast(b as double)), 6) + 0.0e0 rho from (select off, rank() over (order by sum(case when y < 1999 then annual end)) a, rank() over (order by sum(case when y >= 1999 then annual end)) b from wide where profile = 'single' group by off) x"
+    q["plateau_delta"] = "select a.off, round(a.annual - avg(b.annual), 6) + 0.0e0 delta from by_offset a join by_offset b on a.profile = b.profile and abs(a.off - b.off) = 5 where a.profile = 'single' group by a.off, a.annual"
+    q["pareto_frontier"] = "select off, profile from by_offset a where not exists (select 1 from by_offset b where b.annual >= a.annual and b.mdd >= a.mdd and (b.annual > a.annual or b.mdd > a.mdd))"
+    q["rolling_benchmark"] = f"select round(min(x), 6) + 0.0e0 lo, round(median(x), 6) + 0.0e0 mid, round(max(x), 6) + 0.0e0 hi, count(*) n from (select f / lag(f, 365) over (order by dt) - 1 x from benchmark where f is not null) z where x is not null"
+    q["staggered_blend"] = "select profile, dt, round(avg(equity), 6) + 0.0e0 equity from equity group by profile, dt"
+    q["inverse_vol"] = f"select code, dt, round((1 / v) / sum(1 / v) over (partition by dt), 6) + 0.0e0 w from (select code, dt, stddev_pop(r) over ({one} rows between 59 preceding and current row) v, count(r) over ({one} rows between 59 preceding and current row) n from returns) x where n = 60 and v > 0"
+    q["momentum_topn"] = "select dt, code, k from (select dt, code, row_number() over (partition by dt order by signal desc, code) k from momentum where signal is not null) x where k <= 2"
+    q["moving_average_gate"] = "select code, dt, f > b above from averages where nb = 60"
+    q["never_rebalanced"] = "select dt, round(sum(w), 6) + 0.0e0 v from (select g.dt, t.w * g.g / t.g w from targets t join growth g on g.code = t.code where t.off = 0 and t.decided = (select min(decided) from targets where off = 0) and g.dt >= t.decided) x group by dt"
+    q["zero_return_floor"] = f"select code, round(avg(case when r = 0 then 1.0e0 else 0 end), 6) + 0.0e0 zero_share, stddev_pop(r) * sqrt({DAYS}) < 0.02 too_quiet from returns where r is not null group by code"
+    q["year_by_year"] = f"select code, y, round({d.total_product('1 + r')} - 1, 6) + 0.0e0 total from (select code, year(dt) y, r from returns where r is not null) x group by code, y"
+    q["attribution"] = "select t.code, round(sum(t.w * (g.f / a.f - 1)), 6) + 0.0e0 contribution from targets t join (select decided, lead(decided) over (order by decided) until from (select distinct decided from targets where off = 0) q) i on i.decided = t.decided join filled a on a.code = t.code and a.dt = t.decided join filled g on g.code = t.code and g.dt = i.until where t.off = 0 group by t.code"
+    q["sharpe_standard_error"] = "select off, profile, round(1 / sqrt(count(*)), 6) + 0.0e0 se from wide group by off, profile"
+    q["sensitivity_spread"] = "select 'offset' dimension, round(max(annual) - min(annual), 6) + 0.0e0 spread from by_offset where profile = 'single' union all select 'cost', round(max(a) - min(a), 6) + 0.0e0 from (select profile, avg(annual) a from wide group by profile) x"
+    q["profile_offset_rollup"] = "select profile, off, round(avg(annual), 6) + 0.0e0 annual from wide group by rollup(profile, off)"
+    q["chain_agreement"] = "select round(corr(a.x, b.x), 6) + 0.0e0 rho, count(*) n from (select dt, avg(r) x from returns where r is not null group by dt) a join (select cast(o_orderdate as date) dt, avg(o_totalprice) x from orders group by cast(o_orderdate as date)) b on a.dt = b.dt"
+    # batch twin of the streaming bars, and text checks
+    q["events_daily_bars"] = "select event_type code, cast(ts as date) dt, count(*) n, round(min(value), 6) lo, round(max(value), 6) hi from events group by event_type, cast(ts as date)"
+    q["link_extract"] = "select page_id, link, count(*) n from (" + d.explode(d.regex_all("html", 'href="([^"]*)"'), "link", "(select page_id, html from pages) p") + ") x group by page_id, link"
+    q["count_claims"] = "select doc_id, claim from (" + d.explode(d.regex_all("text", r"\b([0-9]+) "), "claim", "(select doc_id, text from documents) p") + ") x"
+    return q
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def make(name: str) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            for t in TABLES:
+                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            return spark.sql(resolve(texts(SPARK)[name], SPARK))
+
+        run.__name__ = name
+        return run
+
+    return {name: make(name) for name in texts(SPARK)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: resolve(q, CHECK) for name, q in texts(CHECK).items()}

@@ -1,0 +1,32 @@
+"""The few expressions that Spark SQL and the checking engine spell differently."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Dialect:
+    spark: bool
+
+    def product(self, x: str, over: str) -> str:
+        """Running product of positive numbers over a window."""
+        return f"exp(sum(ln({x})) over ({over}))" if self.spark else f"product({x}) over ({over})"
+
+    def total_product(self, x: str) -> str:
+        return f"exp(sum(ln({x})))" if self.spark else f"product({x})"
+
+    def last(self, x: str, over: str) -> str:
+        return f"last_value({x}, true) over ({over})" if self.spark else f"last_value({x} ignore nulls) over ({over})"
+
+    def days(self, later: str, earlier: str) -> str:
+        return f"datediff({later}, {earlier})" if self.spark else f"date_diff('day', {earlier}, {later})"
+
+    def regex_all(self, x: str, pattern: str) -> str:
+        return f"regexp_extract_all({x}, r'{pattern}', 1)" if self.spark else f"regexp_extract_all({x}, '{pattern}', 1)"
+
+    def explode(self, array: str, name: str, table: str) -> str:
+        return f"select *, explode({array}) {name} from {table}" if self.spark else f"select *, unnest({array}) {name} from {table}"
+
+
+SPARK, CHECK = Dialect(True), Dialect(False)
