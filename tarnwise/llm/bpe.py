@@ -22,9 +22,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 from tarnwise.llm.common import ship
 
 #: Pieces, and pairs of tokens, that a worker keeps.
-KEPT = 300_000
-#: Characters of a long text that are split at once.
-PART = 1 << 20
+KEPT = 100_000
+#: Characters of a long text that are split at once, and of texts whose new pieces are encoded together.
+PART = BATCH = 1 << 20
 
 
 def rank_file() -> str:
@@ -99,11 +99,22 @@ class Encoder:
 
     def encode_piece(self, data: bytes) -> list[int]:
         """A piece that is a token stays whole, as the library has it; else the table's encoding."""
-        if data in self.ranks:
-            return [self.ranks[data]]
-        table = [-1]
-        self.extend(data, table, len(data))
-        return self.read(table)
+        return next(self.encode_pieces([data]))
+
+    def encode_pieces(self, sorted_pieces: list[bytes]) -> Iterator[list[int]]:
+        """The encodings of pieces in their order; what a piece begins with alike the one before it keeps its entries."""
+        table, before = [-1], b""
+        for data in sorted_pieces:
+            if data in self.ranks:
+                yield [self.ranks[data]]
+                continue
+            k, most = 0, min(len(before), len(data))
+            while k < most and before[k] == data[k]:
+                k += 1
+            del table[k + 1 :]
+            self.extend(data, table, len(data))
+            before = data
+            yield self.read(table)
 
 
 class Table:
@@ -152,6 +163,20 @@ class Kept(dict):
         return out
 
 
+class Pieces(Kept):
+    """Decimal ids of each piece, joined by commas."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__(lambda piece: ",".join(map(str, encoder.encode_piece(piece.encode()))))
+        self.encoder = encoder
+
+    def learn(self, found: set[str]) -> None:
+        """Encodes the new ones of many pieces in byte order, so that neighbours share the entries of their common prefix."""
+        new = sorted(p.encode() for p in found if p not in self and p not in self.old)
+        for data, ids in zip(new, self.encoder.encode_pieces(new)):
+            self[data.decode()] = ",".join(map(str, ids))
+
+
 _LOADED: dict[str, tuple] = {}
 
 
@@ -161,8 +186,7 @@ def loaded(path: str) -> tuple:
         import public_tokenizers
 
         encoder = Encoder(load_ranks(path))
-        pieces = Kept(lambda piece: ",".join(map(str, encoder.encode_piece(piece.encode()))))
-        _LOADED[path] = (pieces, Kept(lambda ids: b"".join(encoder.bytes_of[int(k)] for k in ids.split(","))), regex.compile(public_tokenizers.PATTERN))
+        _LOADED[path] = (Pieces(encoder), Kept(lambda ids: b"".join(encoder.bytes_of[int(k)] for k in ids.split(","))), regex.compile(public_tokenizers.PATTERN))
     return _LOADED[path]
 
 
@@ -189,6 +213,33 @@ def encode_text(text: str, path: str) -> Iterator[list[str]]:
             yield list(map(pieces.__getitem__, found))
 
 
+def split_texts(texts: pa.Array, path: str) -> Iterator[Iterator[list[str]]]:
+    """encode_text() of every text; short texts are split together, and their new pieces are learned at once."""
+    pieces, _, pattern = loaded(path)
+    held: list[list[str]] = []
+    size = 0
+
+    def give() -> Iterator[Iterator[list[str]]]:
+        pieces.learn(set().union(*held))
+        for found in held:
+            yield iter([list(map(pieces.__getitem__, found))] if found else [])
+        held.clear()
+
+    for text in texts:
+        text = text.as_py() or ""
+        if len(text) > PART:
+            yield from give()
+            yield encode_text(text, path)
+            size = 0
+            continue
+        held.append(pattern.findall(text))
+        size += len(text)
+        if size > BATCH:
+            yield from give()
+            size = 0
+    yield from give()
+
+
 def decode_ids(ids: list[str], path: str) -> bytes:
     return b"".join(map(loaded(path)[1].__getitem__, ids))
 
@@ -206,9 +257,9 @@ def tokenize(docs: DataFrame, path: str | None = None, keep: list[str] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count, ids_sha, text_sha, all_ids = [], [], [], []
-            for text in b.column("__text"):
+            for found in split_texts(b.column("__text"), path):
                 n, a, d, got = 0, hashlib.sha256(), hashlib.sha256(), []
-                for pieces in encode_text(text.as_py() or "", path):
+                for pieces in found:
                     part = ",".join(pieces)
                     a.update((b"," if n else b"") + part.encode())
                     n += part.count(",") + 1

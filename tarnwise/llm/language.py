@@ -29,7 +29,7 @@ SAMPLE, ROUNDS, LEAST = 4_000, 2, 0.01
 #: Letters of the widest piece, letters of a run that are scored at once, and the least probability of a piece.
 WIDE, LONG, FLOOR = 7, 32, 1e-9
 #: Tokens whose scores a worker keeps.
-KEPT = 300_000
+KEPT = 150_000
 WORDS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 
