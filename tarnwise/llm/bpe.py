@@ -65,7 +65,7 @@ class Encoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a, b is the encoding of their bytes."""
-        if len(self.pairs) > 2 * KEPT:
+        if len(self.pairs) > 7 * KEPT:
             self.pairs.clear()
         got = self.pairs[a << 32 | b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return got
