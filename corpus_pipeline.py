@@ -19,8 +19,8 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language that is more likely than all others together, go. All labelled documents teach."""
-    found = language.identify(docs, docs.select("doc_id", "text", "lang"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+    found = language.identify(docs, docs.select("doc_id", "text", "lang"), prefix="__")
+    return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= SURE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut from the later texts; documents of which nothing but white space is left go."""
-    left = substrings.dedupe(docs).where((F.col("n_spans") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = substrings.dedupe(docs, prefix="__new_").where((F.col("__new_n_spans") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -159,18 +159,18 @@ def merge(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK, prefix: str = "") -> DataFrame:
     """docs (text, ...) with n_words long, spans array<long> (flat pairs of word numbers, end exclusive) and items array<string> (sorted).
 
     Null texts have no words. Items without words are never found; items with equal texts are found together. An item_id that
     repeats counts once; a null one is the empty string. Repeated rows and empty tables are as any other. Columns of docs
-    named n_words, spans or items are replaced.
+    named n_words, spans or items are replaced, unless the new names get a prefix.
     """
     spark = docs.sparkSession
     ship(spark)
-    new = ("n_words", "spans", "items")
+    new = [prefix + c for c in ("n_words", "spans", "items")]
     rows = docs.drop(*new)
-    schema = StructType(list(rows.schema.fields)).add("n_words", LongType()).add("spans", ArrayType(LongType())).add("items", ArrayType(StringType()))
+    schema = StructType(list(rows.schema.fields)).add(new[0], LongType()).add(new[1], ArrayType(LongType())).add(new[2], ArrayType(StringType()))
     keep = rows.columns
     for k, block in enumerate(list_or_one(blocks(benchmark, window, most))):
         shared = spark.sparkContext.broadcast(Automaton(block, window))
@@ -179,7 +179,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
             automaton = shared.value
             for b in batches:
                 counts, spans, items = [], [], []
-                before = zip(b.column("spans").to_pylist(), b.column("items").to_pylist()) if k else iter(lambda: ([], []), None)
+                before = zip(b.column(new[1]).to_pylist(), b.column(new[2]).to_pylist()) if k else iter(lambda: ([], []), None)
                 for text, (old, named) in zip(b.column("text"), before):
                     words = split(text.as_py())
                     got, found = automaton.match(words)
@@ -210,12 +210,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, longest: int = WINDOW, coverage
     A span goes from its first word to the start of the word after it. Texts without such spans stay as they are, null ones too.
     """
     keep = docs.columns
-    found = find(docs, benchmark, window)
+    found = find(docs, benchmark, window, prefix="__")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, stay = [], []
-            for text, n, flat in zip(b.column("text"), b.column("n_words").to_pylist(), b.column("spans").to_pylist()):
+            for text, n, flat in zip(b.column("text"), b.column("__n_words").to_pylist(), b.column("__spans").to_pylist()):
                 hit = sum(flat[1::2]) - sum(flat[::2])
                 stay.append(not n or hit <= coverage * n)
                 spans = [(s, e) for s, e in zip(flat[::2], flat[1::2]) if e - s >= min(longest, n)]

@@ -219,19 +219,20 @@ class Scores:
 _SCORES: dict[int, Scores] = {}  # by the identity of the broadcast value, which lives as long as the entry
 
 
-def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str | None = None) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str | None = None, prefix: str = "") -> DataFrame:
     """docs (doc_id, text, ...) with lang_pred and score, learned from train (doc_id, text, lang); all columns of docs stay.
 
     lang_pred is a language of train, `und` for null texts and texts without a letter (score 0), and if nothing could be
     learned. score is the language's posterior under equal priors, 0 to 1. Ties go to the first language by name. Rows of
     train with a null text or language are not used; repeated rows count as often as they stand. Columns of docs named
-    lang_pred or score are replaced.
+    lang_pred or score are replaced, unless the new names get a prefix.
     """
     ship(docs.sparkSession)
     path = path or vocabulary()
     langs, p = fit(train.where("text is not null and lang is not null"), path, sample)
     shared = docs.sparkSession.sparkContext.broadcast(p)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    new = [prefix + "lang_pred", prefix + "score"]
+    names = [c for c in docs.columns if c not in new]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(shared.value)
@@ -253,10 +254,10 @@ def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str
                     best = int(total[:-1].argmax())
                     pred.append(langs[best])
                     score.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, *new])
 
     rows = docs.select(*names)
-    return rows.mapInArrow(predict, StructType(list(rows.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()))
+    return rows.mapInArrow(predict, StructType(list(rows.schema.fields)).add(new[0], StringType()).add(new[1], DoubleType()))
 
 
 def held_out(doc_id: Column) -> Column:

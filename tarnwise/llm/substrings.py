@@ -134,10 +134,13 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def dedupe(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs without the repeated passages in their texts, with cut_words long, cut_bytes long and n_spans int. Texts without any stay as they are."""
-    found = repeats(docs, least).withColumnRenamed("doc_id", "__doc").withColumnRenamed("text_hash", "__hash").withColumnRenamed("spans", "__spans")
-    new = ("cut_words", "cut_bytes", "n_spans")
+def dedupe(docs: DataFrame, least: int = LEAST, prefix: str = "") -> DataFrame:
+    """docs without the repeated passages in their texts, with cut_words long, cut_bytes long and n_spans int. Texts without any stay as they are.
+
+    Columns of docs with these names are replaced, unless the new names get a prefix.
+    """
+    found = repeats(docs, least).withColumnRenamed("doc_id", "__doc").withColumnRenamed("text_hash", "__hash").withColumnRenamed("spans", "__spans").withColumnRenamed("cut_words", "__cut")
+    new = [prefix + c for c in ("cut_words", "cut_bytes", "n_spans")]
     rows = docs.drop(*new)
     met = rows.withColumn("__text_hash", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("__doc")) & (F.col("__text_hash") == F.col("__hash")), "left")
     # byte ranges on the JVM: the pieces between the spans, of the text as binary
@@ -154,7 +157,7 @@ def dedupe(docs: DataFrame, least: int = LEAST) -> DataFrame:
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(pieces, lambda x: x.cast("string")), ""))
     size = F.coalesce(F.expr("aggregate(__spans, 0L, (a, x) -> a + x.to - x.at)"), F.lit(0))
     cols = [text.alias("text") if c == "text" else F.col(c) for c in rows.columns]
-    return met.select(*cols, F.coalesce("cut_words", F.lit(0)).cast("long").alias("cut_words"), size.cast("long").alias("cut_bytes"), F.coalesce(n, F.lit(0)).alias("n_spans"))
+    return met.select(*cols, F.coalesce("__cut", F.lit(0)).cast("long").alias(new[0]), size.cast("long").alias(new[1]), F.coalesce(n, F.lit(0)).alias(new[2]))
 
 
 def op5_gear_chunk_dedup(spark, sf_dir: str) -> DataFrame:
