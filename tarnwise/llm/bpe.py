@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from tarnwise.llm.common import ship
+from tarnwise.llm.common import held, ship, trim
 
 #: Pieces, and pairs of tokens, that a worker keeps.
 KEPT = 100_000
@@ -177,17 +177,16 @@ class Pieces(Kept):
             self[data.decode()] = ",".join(map(str, ids))
 
 
-_LOADED: dict[str, tuple] = {}
-
-
 def loaded(path: str) -> tuple:
     """Ids of each piece (decimal, joined by commas), bytes of such ids, and the compiled pattern."""
-    if path not in _LOADED:
+
+    def make() -> tuple:
         import public_tokenizers
 
         encoder = Encoder(load_ranks(path))
-        _LOADED[path] = (Pieces(encoder), Kept(lambda ids: b"".join(encoder.bytes_of[int(k)] for k in ids.split(","))), regex.compile(public_tokenizers.PATTERN))
-    return _LOADED[path]
+        return Pieces(encoder), Kept(lambda ids: b"".join(encoder.bytes_of[int(k)] for k in ids.split(","))), regex.compile(public_tokenizers.PATTERN)
+
+    return held(f"bpe {path}", make)
 
 
 _INK = regex.compile(r"(?<=\S)\s")
@@ -275,6 +274,7 @@ def tokenize(docs: DataFrame, path: str | None = None, keep: list[str] | None =
                 starts = np.cumsum([0, *map(len, all_ids)], dtype=np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids]))))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids)
+        trim()
 
     schema = rows.select(*keep).schema.add("n_tokens", LongType()).add("ids_sha256", StringType()).add("decoded_sha256", StringType())
     return rows.mapInArrow(run, schema.add("token_ids", ArrayType(IntegerType())) if with_ids else schema)

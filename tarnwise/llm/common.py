@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +19,46 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 SLICE = 1 << 20
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, whatever the rows' width.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that start later import this package where it is not installed."""
+    """Let Python workers that start later import this package where it is not installed, and bound the batches they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+_HELD: dict[str, object] = {}
+
+
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def claim(key: str) -> None:
+    """Drops what held() keeps under another key."""
+    if _HELD and key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        trim()
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """make(), kept in this process until another key is claimed: a worker lives through many stages, and holds the tables of one."""
+    claim(key)
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; /tmp/checkpoints where it is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from tarnwise.llm.common import materialize, ship
+from tarnwise.llm.common import claim, held, materialize, ship, trim
 
 SAMPLE, ROUNDS, LEAST = 4_000, 2, 0.01
 #: Letters of the widest piece, letters of a run that are scored at once, and the least probability of a piece.
@@ -112,6 +113,7 @@ def lattice(path: str) -> Lattice:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("language")
     total: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -146,6 +148,7 @@ def fit(rows: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np
         shared = spark.sparkContext.broadcast(p)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            claim("language")
             got = np.zeros((len(at), size))
             lat = lattice(path)
             for b in batches:
@@ -216,9 +219,6 @@ class Scores:
         self.add(list(new))
 
 
-_SCORES: dict[int, Scores] = {}  # by the identity of the broadcast value, which lives as long as the entry
-
-
 def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str | None = None, prefix: str = "") -> DataFrame:
     """docs (doc_id, text, ...) with lang_pred and score, learned from train (doc_id, text, lang); all columns of docs stay.
 
@@ -231,15 +231,12 @@ def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str
     path = path or vocabulary()
     langs, p = fit(train.where("text is not null and lang is not null"), path, sample)
     shared = docs.sparkSession.sparkContext.broadcast(p)
+    model = f"language {uuid.uuid4().hex}"
     new = [prefix + "lang_pred", prefix + "score"]
     names = [c for c in docs.columns if c not in new]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
-        if key not in _SCORES:
-            _SCORES.clear()
-            _SCORES[key] = Scores(path, shared.value)
-        known = _SCORES[key]
+        known = held(model, lambda: Scores(path, shared.value))
         for b in batches:
             pred, score = [], []
             for lo in range(0, b.num_rows, 256):
@@ -255,6 +252,7 @@ def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str
                     pred.append(langs[best])
                     score.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, *new])
+        trim()
 
     rows = docs.select(*names)
     return rows.mapInArrow(predict, StructType(list(rows.schema.fields)).add(new[0], StringType()).add(new[1], DoubleType()))
