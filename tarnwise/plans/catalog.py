@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnwise.plans import folds
 from tarnwise.plans.dialect import CHECK, SPARK, Dialect
 from tarnwise.plans.relations import CUTOFF, DAYS, OFFSETS, YEARS, resolve
 
@@ -134,8 +135,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         run.__name__ = name
         return run
 
-    return {name: make(name) for name in texts(SPARK)}
+    return {name: make(name) for name in texts(SPARK)} | folds.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: resolve(q, CHECK) for name, q in texts(CHECK).items()}
+    return {name: resolve(q, CHECK) for name, q in texts(CHECK).items()} | folds.oracle_sql()
