@@ -42,7 +42,10 @@ def vocabulary() -> str:
 
 
 class Lattice:
-    """The pieces of a vocabulary file. Piece 0 is none; piece 1 stands for any character that no piece has."""
+    """The pieces of a vocabulary file. Piece 0 is none; piece 1 stands for any character that no piece has.
+
+    All prefixes of pieces form a trie, whose nodes that have children come first. Node 0 is dead: it leads to itself.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -52,15 +55,33 @@ class Lattice:
         pieces = sorted({p for p in normal if p == p.lower() and len(p) <= WIDE and all(c == MARK or c.isalpha() for c in p)} | {MARK})
         self.ids = {p: k for k, p in enumerate(pieces, 2)}
         self.size = len(pieces) + 2
+        inner = sorted({p[:k] for p in pieces for k in range(1, len(p))})
+        nodes = {x: k for k, x in enumerate([*inner, *sorted(self.ids.keys() - set(inner))], 1)}
+        letters = {c: k for k, c in enumerate(sorted({c for p in pieces for c in p[1:]}), 1)}
+        self.inner = len(inner)
+        self.root, self.letter = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.step = np.zeros((self.inner + 1, len(letters) + 1), np.int32)
+        self.piece = np.zeros(len(nodes) + 1, np.int32)
+        for x, k in nodes.items():
+            if len(x) > 1:
+                self.step[nodes[x[:-1]], letters[x[-1]]] = k
+            else:
+                self.root[ord(x)] = k
+            self.piece[k] = self.ids.get(x, 0)
 
     def pieces(self, words: list[str]) -> np.ndarray:
         """For words of one length n: piece [word, start, width - 1], 0 for none; starts count the mark before the word."""
-        n, get = len(words[0]) + 1, self.ids.get
-        spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + WIDE) + 1)]
+        n = len(words[0]) + 1
+        codes = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
+        node, letter = self.root[codes], self.letter[codes]
         out = np.zeros((len(words), n, WIDE), np.int32)
-        flat = np.array([[get(w[i:j], 0) for i, j in spans] for w in (MARK + w for w in words)], np.int32)
-        out[:, [i for i, _ in spans], [j - i - 1 for i, j in spans]] = flat
-        out[:, :, 0] = np.where(out[:, :, 0] == 0, 1, out[:, :, 0])
+        out[:, :, 0] = self.piece[node]
+        out[:, :, 0][out[:, :, 0] == 0] = 1
+        for w in range(1, min(WIDE, n)):
+            before = node[:, : n - w]
+            node = self.step[np.where(before > self.inner, 0, before), letter[:, w:]]
+            out[:, : n - w, w] = self.piece[node]
         return out
 
 
