@@ -17,6 +17,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from tarnwise.llm.common import claim, held, materialize, ship, trim
 SAMPLE, ROUNDS, LEAST = 4_000, 2, 0.01
 #: Letters of the widest piece, letters of a run that are scored at once, and the least probability of a piece.
 WIDE, LONG, FLOOR = 7, 32, 1e-9
-#: Tokens whose scores a worker keeps.
-KEPT = 150_000
+#: Tokens whose scores a worker keeps, and letters of text that it scores at once.
+KEPT, AT_ONCE = 200_000, 4 << 20
 WORDS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 
@@ -91,8 +92,8 @@ def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     a = np.zeros((words, n + 1, *p.shape[1:]))
     a[:, 0] = 1
     for j in range(1, n + 1):
-        for w in range(1, min(WIDE, j) + 1):
-            a[:, j] += a[:, j - w] * p[ids[:, j - w, w - 1]]
+        i = np.arange(max(0, j - WIDE), j)
+        a[:, j] = np.einsum("wi...,wi...->w...", a[:, i[0] : j], p[ids[:, i, j - 1 - i]])
     return a
 
 
@@ -192,7 +193,7 @@ def fit(rows: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np
 
 
 class Scores:
-    """Log-probabilities of white-space tokens by language, and whether a token has a letter; starts anew beyond KEPT tokens."""
+    """Log-probabilities of white-space tokens by language, and how many of a token's runs have a letter; starts anew beyond KEPT tokens."""
 
     def __init__(self, path: str, p: np.ndarray):
         self.lat, self.p, self.at = lattice(path), np.ascontiguousarray(p.T), {}
@@ -211,33 +212,38 @@ class Scores:
                 row.append(k)
         for part in by_length(words):
             got = np.log(forward(self.lat.pieces([words[k] for k in part]), self.p)[:, -1])
-            letters = np.array([any(map(str.isalpha, words[k])) for k in part], float)
+            letters = np.array([words[k].isalpha() or any(map(str.isalpha, words[k])) for k in part], float)
             np.add.at(self.table, [row[k] for k in part], np.column_stack([got, letters]))
 
-    def total(self, text: str) -> np.ndarray:
-        """Sums over the tokens of text: a log-probability for each language, then the runs that have a letter."""
-        out = np.zeros(self.table.shape[1])
-        tokens = text.split()
-        for k in range(0, len(tokens), 1 << 16):
-            part = tokens[k : k + (1 << 16)]
-            if len(self.at) > KEPT:
-                self.at.clear()
-            ids = list(map(self.at.get, part))
-            if None in ids:
-                self.add(list({t for t, x in zip(part, ids) if x is None}))
-                ids = list(map(self.at.__getitem__, part))
-            out += self.table[ids].sum(0)
-        return out
-
-    def learn(self, texts: list[str]) -> None:
-        """Takes up the new tokens of all texts at once."""
-        if len(self.at) > KEPT:
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """A row for each list of tokens, with their sums: a log-probability for each language, then the runs that have a letter."""
+        distinct = set().union(*texts)
+        new = distinct.difference(self.at)
+        if new and len(self.at) > KEPT:
             self.at.clear()
-        new: set[str] = set()
-        for x in texts:
-            new.update(x.split())
-        new.difference_update(self.at)
+            new = distinct
         self.add(list(new))
+        ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(texts)), np.int64)
+        out, sizes = np.zeros((len(texts), self.table.shape[1])), np.array(list(map(len, texts)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            out[some] = np.add.reduceat(self.table[ids], (np.cumsum(sizes) - sizes)[some])
+        return out
+
+    def score(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The row of totals() of each text. Texts with more than AT_ONCE letters are read in parts."""
+        at, size = 0, 0
+        for k, x in enumerate([*texts, " " * (AT_ONCE + 1)]):
+            if size + len(x) <= AT_ONCE:
+                size += len(x)
+                continue
+            if k > at:
+                yield from self.totals([y.split() for y in texts[at:k]])
+            at, size = k, len(x)
+            if len(x) > AT_ONCE and k < len(texts):
+                tokens = x.split()
+                yield sum(self.totals([tokens[i : i + (1 << 16)]])[0] for i in range(0, len(tokens), 1 << 16)) + np.zeros(self.table.shape[1])
+                at, size = k + 1, 0
 
 
 def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str | None = None, prefix: str = "") -> DataFrame:
@@ -260,18 +266,14 @@ def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str
         known = held(model, lambda: Scores(path, shared.value))
         for b in batches:
             pred, score = [], []
-            for lo in range(0, b.num_rows, 256):
-                texts = [(x or "").lower() for x in b.column("text").slice(lo, 256).to_pylist()]
-                known.learn(texts)
-                for text in texts:
-                    total = known.total(text)
-                    if not total[-1] or not langs:
-                        pred.append("und")
-                        score.append(0.0)
-                        continue
-                    best = int(total[:-1].argmax())
-                    pred.append(langs[best])
-                    score.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
+            for total in known.score([(x or "").lower() for x in b.column("text").to_pylist()]):
+                if not total[-1] or not langs:
+                    pred.append("und")
+                    score.append(0.0)
+                    continue
+                best = int(total[:-1].argmax())
+                pred.append(langs[best])
+                score.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, *new])
         trim()
 
