@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwise.operators.diversification import effective_bets, protect
 from tarnwise.operators.simulator import Blend, simulate, strategy_targets
 from tarnwise.plans.dialect import CHECK, SPARK
 from tarnwise.plans.relations import COST, OFFSETS, STRESS, resolve
@@ -66,12 +67,29 @@ def strategy_python_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("run_id").cast("int").alias("off"), F.col("dt").alias("decided"), "code", (F.round("w", 8) + F.lit(0.0)).alias("w"))
 
 
+def effective_number_of_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Independent bets among all instruments, from the covariances of their daily returns."""
+    pairs = "select a.code code_a, b.code code_b, covar_pop(a.r, b.r) c from returns a join returns b on a.dt = b.dt where a.r is not null and b.r is not null group by a.code, b.code"
+    return effective_bets(relation(spark, sf_dir, pairs)).select("n", F.round("bets", 6).alias("bets"), F.round("mean_vol", 8).alias("mean_vol"))
+
+
+def peak_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passive control of every offset behind a floor of 90 % of its peak, exposed three times the cushion."""
+    path = relation(spark, sf_dir, "select cast(off as string) run_id, dt, net r from net where profile = 'single'")
+    return protect(path).select(F.col("run_id").cast("int").alias("off"), "dt", *(F.round(c, 6).alias(c) for c in ("value", "floor", "exposure")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (backtest_fold, backtest_trade_lag, backtest_circuit_breaker, backtest_min_hold, strategy_python_blend)}
+    return {f.__name__: f for f in (backtest_fold, backtest_trade_lag, backtest_circuit_breaker, backtest_min_hold, strategy_python_blend, effective_number_of_bets, peak_floor)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The set form says the same as the plain fold and the Python strategy."""
     plain = "select off, profile, dt, round(gross, 8) + 0.0e0 gross, round(net, 8) + 0.0e0 net, round(turnover, 8) + 0.0e0 turnover from net"
     blend = "select off, decided, code, round(w, 8) + 0.0e0 w from targets"
-    return {"backtest_fold": resolve(plain, CHECK), "strategy_python_blend": resolve(blend, CHECK)}
+    exposed = "case when v > 0 then least(1, greatest(0, 3 * (v - fl) / v)) else 0 end"
+    steps = f""", days as materialized (select off, dt, net r, row_number() over (partition by off order by dt) k from net where profile = 'single'),
+        steps as (select off, dt, k, 1.0e0 v, 0.9e0 fl from days where k = 1
+        union all select off, dt, k, v, greatest(fl, 0.9e0 * v) from (select d.off, d.dt, d.k, s.v * (1 + {exposed} * d.r) v, s.fl from steps s join days d on d.off = s.off and d.k = s.k + 1) x)
+        select off, dt, round(v, 6) "value", round(fl, 6) floor, round({exposed}, 6) exposure from steps"""
+    return {"backtest_fold": resolve(plain, CHECK), "strategy_python_blend": resolve(blend, CHECK), "peak_floor": resolve(steps, CHECK).replace("with ", "with recursive ", 1)}
