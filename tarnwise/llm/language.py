@@ -28,8 +28,8 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from tarnwise.llm.common import claim, held, materialize, ship, trim
 
 SAMPLE, ROUNDS, LEAST = 4_000, 2, 0.01
-#: Letters of the widest piece, letters of a run that are scored at once, and the least probability of a piece.
-WIDE, LONG, FLOOR = 7, 32, 1e-9
+#: Letters of the widest piece of vocabulary() (nothing is cut at it), letters of a run that are scored at once, and the least probability of a piece.
+WIDE, LONG, FLOOR = 16, 32, 1e-9
 #: Tokens whose scores a worker keeps, and letters of text that it scores at once.
 KEPT, AT_ONCE = 200_000, 4 << 20
 WORDS = re.compile(r"[^\W\d_]+")
@@ -53,9 +53,9 @@ class Lattice:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = (sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k)))
-        pieces = sorted({p for p in normal if p == p.lower() and len(p) <= WIDE and all(c == MARK or c.isalpha() for c in p)} | {MARK})
+        pieces = sorted({p for p in normal if p == p.lower() and all(c == MARK or c.isalpha() for c in p)} | {MARK})
         self.ids = {p: k for k, p in enumerate(pieces, 2)}
-        self.size = len(pieces) + 2
+        self.size, self.wide = len(pieces) + 2, max(map(len, pieces))
         inner = sorted({p[:k] for p in pieces for k in range(1, len(p))})
         nodes = {x: k for k, x in enumerate([*inner, *sorted(self.ids.keys() - set(inner))], 1)}
         letters = {c: k for k, c in enumerate(sorted({c for p in pieces for c in p[1:]}), 1)}
@@ -72,38 +72,46 @@ class Lattice:
             self.piece[k] = self.ids.get(x, 0)
 
     def pieces(self, words: list[str]) -> np.ndarray:
-        """For words of one length n: piece [word, start, width - 1], 0 for none; starts count the mark before the word."""
+        """For words of one length n: piece [word, start, width - 1], 0 for none; starts count the mark before the word.
+
+        Widths go as far as any of the words has a piece.
+        """
         n = len(words[0]) + 1
         codes = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
         node, letter = self.root[codes], self.letter[codes]
-        out = np.zeros((len(words), n, WIDE), np.int32)
+        out = np.zeros((len(words), n, min(self.wide, n)), np.int32)
         out[:, :, 0] = self.piece[node]
         out[:, :, 0][out[:, :, 0] == 0] = 1
-        for w in range(1, min(WIDE, n)):
+        widest = 1
+        for w in range(1, out.shape[2]):
             before = node[:, : n - w]
             node = self.step[np.where(before > self.inner, 0, before), letter[:, w:]]
-            out[:, : n - w, w] = self.piece[node]
-        return out
+            if not node.any():
+                break
+            out[:, : n - w, w] = found = self.piece[node]
+            if found.any():
+                widest = w + 1
+        return out[:, :, :widest]
 
 
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     """[word, place, ...]: the sum over all segmentations up to each place. p: [piece, ...], 0 for piece 0."""
-    words, n, _ = ids.shape
+    words, n, wide = ids.shape
     a = np.zeros((words, n + 1, *p.shape[1:]))
     a[:, 0] = 1
     for j in range(1, n + 1):
-        i = np.arange(max(0, j - WIDE), j)
+        i = np.arange(max(0, j - wide), j)
         a[:, j] = np.einsum("wi...,wi...->w...", a[:, i[0] : j], p[ids[:, i, j - 1 - i]])
     return a
 
 
 def expected(ids: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected count of each piece over all segmentations of all words, each word counted `weight` times. p: [piece]."""
-    words, n, _ = ids.shape
+    words, n, wide = ids.shape
     a, b, out = forward(ids, p), np.zeros((words, n + 1)), np.zeros(len(p))
     b[:, n] = 1
     for i in range(n - 1, -1, -1):
-        for w in range(1, min(WIDE, n - i) + 1):
+        for w in range(1, min(wide, n - i) + 1):
             x = p[ids[:, i, w - 1]] * b[:, i + w]
             b[:, i] += x
             out += np.bincount(ids[:, i, w - 1], a[:, i] * x / a[:, n] * weight, len(p))

@@ -134,6 +134,37 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(language.forward(lat.pieces([w]), p)[0, -1], brute(language.MARK + w))
 
 
+def test_no_piece_of_the_vocabulary_is_too_wide():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=language.vocabulary())
+    normal = (sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k)))
+    pieces = {p for p in normal if p == p.lower() and all(c == language.MARK or c.isalpha() for c in p)}
+    lat = language.lattice(language.vocabulary())
+    assert lat.ids.keys() == pieces | {language.MARK} and lat.wide == max(map(len, pieces)) == language.WIDE
+    p = np.random.default_rng(3).random(lat.size)
+    p[0] = 0
+
+    def cuts(s):
+        if not s:
+            yield 1.0, []
+        for k in range(1, len(s) + 1):
+            piece = lat.ids.get(s[:k], 1 if k == 1 else 0)
+            if piece:
+                yield from ((p[piece] * x, [piece, *rest]) for x, rest in cuts(s[k:]))
+
+    long = sorted((x for x in pieces if len(x) > 7 and x[0] == language.MARK), key=lambda x: (-len(x), x))
+    for w in [x[1:] for x in (*long[:4], *long[-4:])] + ["x" + long[0][1:9]]:
+        ids = lat.pieces([w])
+        all_cuts = list(cuts(language.MARK + w))
+        total = sum(x for x, _ in all_cuts)
+        want = np.zeros(lat.size)
+        for x, used in all_cuts:
+            np.add.at(want, used, 3 * x / total)
+        assert np.isclose(language.forward(ids, p)[0, -1], total)
+        assert np.allclose(language.expected(ids, p, np.array([3])), want)
+
+
 def test_language_of_odd_rows(spark):
     teach = docs(spark, [(k, "the cat and the dog " * 3, "en") for k in range(5)] + [(k, "der hund und die katze " * 3, "de") for k in range(5, 9)])
     out = {r.doc_id: r for r in language.identify(docs(spark, ODD), teach).collect()}
