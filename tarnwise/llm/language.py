@@ -6,8 +6,9 @@ is the sum over all of them, which the forward algorithm adds up from left to ri
 The piece probabilities come from expectation-maximisation over the words of labelled rows: each round, the forward-backward
 algorithm gives every piece its expected count in each language.
 
-The labelled rows are a hash sample of about SAMPLE rows (all, if there are fewer), a bound that the parameter documents;
-prediction reads every word of every text. What the driver collects is languages x pieces, whatever the input.
+The labelled rows are a hash sample of about SAMPLE rows of each language (all rows of a language that has no more), a bound
+that the parameter documents; so however rare a language is, it is learned. Prediction reads every word of every text. What
+the driver collects is languages x pieces, whatever the input.
 """
 
 from __future__ import annotations
@@ -163,11 +164,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities from rows (doc_id, text, lang) without nulls. No rows: no languages."""
+    """Languages and their piece probabilities from rows (doc_id, text, lang) without null texts and languages. No rows: no languages.
+
+    Of a language with more than `sample` rows about `sample` teach, dealt by the hash of doc_id: those of the least hash at least.
+    """
     spark = rows.sparkSession
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(sample / n * (1 << 20)))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    most = [(r["lang"], max(math.ceil(sample / r["n"] * (1 << 20)) - 1, r["least"])) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(slot).alias("least")).collect() if r["n"] > sample]
+    if most:
+        most = F.broadcast(spark.createDataFrame(most, "lang string, __most long"))
+        rows = rows.join(most, "lang", "left").where(F.col("__most").isNull() | (slot <= F.col("__most")))
     words = materialize(rows.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
     size = lattice(path).size
@@ -257,7 +263,7 @@ class Scores:
 def identify(docs: DataFrame, train: DataFrame, sample: int = SAMPLE, path: str | None = None, prefix: str = "") -> DataFrame:
     """docs (doc_id, text, ...) with lang_pred and score, learned from train (doc_id, text, lang); all columns of docs stay.
 
-    lang_pred is a language of train, `und` for null texts and texts without a letter (score 0), and if nothing could be
+    Of each language about `sample` rows of train teach. lang_pred is a language of train, `und` for null texts and texts without a letter (score 0), and if nothing could be
     learned. score is the language's posterior under equal priors, 0 to 1. Ties go to the first language by name. Rows of
     train with a null text or language are not used; repeated rows count as often as they stand. Columns of docs named
     lang_pred or score are replaced, unless the new names get a prefix.

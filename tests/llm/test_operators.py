@@ -165,6 +165,17 @@ def test_no_piece_of_the_vocabulary_is_too_wide():
         assert np.allclose(language.expected(ids, p, np.array([3])), want)
 
 
+def test_rare_language_is_learned_beside_a_large_one(spark):
+    rows = [(k, "the cat and the dog sat on the mat with other words", "en") for k in range(3000)]
+    rows += [(k, "le chat et le chien sont dans la maison avec des autres", "fr") for k in (9001, 9002)]
+    train = docs(spark, rows)
+    assert language.fit(train, language.vocabulary(), 40)[0] == ["en", "fr"]
+    out = language.identify(docs(spark, [(1, "le chien et le chat", None), (2, "the dog and the cat", None)]), train, 40)
+    assert {r.doc_id: r.lang_pred for r in out.collect()} == {1: "fr", 2: "en"}
+    one_id = docs(spark, [(7, "the cat", "en")] * 50)
+    assert language.fit(one_id, language.vocabulary(), 1)[0] == ["en"]
+
+
 def test_language_of_odd_rows(spark):
     teach = docs(spark, [(k, "the cat and the dog " * 3, "en") for k in range(5)] + [(k, "der hund und die katze " * 3, "de") for k in range(5, 9)])
     out = {r.doc_id: r for r in language.identify(docs(spark, ODD), teach).collect()}
