@@ -22,6 +22,8 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 from tarnwise.llm.common import ship
 
 WINDOW, BLOCK = 10, 200_000
+#: Words of the shortest item that clean() cuts out of longer texts; fewer words say nothing by themselves.
+SHORT = 3
 #: All but words to spaces, A-Z to a-z.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -207,7 +209,8 @@ def list_or_one(found: Iterator[list]) -> Iterator[list]:
 def clean(docs: DataFrame, benchmark: DataFrame, longest: int = WINDOW, coverage: float = 0.8, window: int = WINDOW) -> DataFrame:
     """docs without the hit spans of at least `longest` words in their texts, and without documents of which more than `coverage` of the words are hit.
 
-    A span goes from its first word to the start of the word after it. Texts without such spans stay as they are, null ones too.
+    Spans of fewer than `window` words are whole items; those of SHORT words and more are cut, too. Items of fewer words stay
+    inside longer texts, but count for `coverage`. A span goes from its first word to the start of the word after it. Texts without such spans stay as they are, null ones too.
     """
     keep = docs.columns
     found = find(docs, benchmark, window, prefix="__")
@@ -218,7 +221,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, longest: int = WINDOW, coverage
             for text, n, flat in zip(b.column("text"), b.column("__n_words").to_pylist(), b.column("__spans").to_pylist()):
                 hit = sum(flat[1::2]) - sum(flat[::2])
                 stay.append(not n or hit <= coverage * n)
-                spans = [(s, e) for s, e in zip(flat[::2], flat[1::2]) if e - s >= min(longest, n)]
+                spans = [(s, e) for s, e in zip(flat[::2], flat[1::2]) if e - s >= min(longest, n) or SHORT <= e - s < window]
                 texts.append(without(text.as_py(), spans) if spans and stay[-1] else text.as_py())
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(cols, names=keep).filter(pa.array(stay, pa.bool_()))

@@ -303,6 +303,13 @@ def test_decontamination_blocks_and_cleaning(spark):
     assert decontaminate.find(docs(spark, rows), bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_whole_short_items_are_cut_from_longer_texts(spark):
+    bench = spark.createDataFrame([(2, "only three words"), (3, "two words"), (4, "nine words of an item that is a window")], "item_id long, text string")
+    rows = [(1, "say Only-three WORDS now", "en"), (2, "here are two words and only three", "en"), (3, "so: nine words of an item, that is a window! then more text and more", "en")]
+    left = {r.doc_id: r.text for r in decontaminate.clean(docs(spark, rows), bench).collect()}
+    assert left == {1: "say now", 2: rows[1][1], 3: "so: then more text and more"}
+
+
 def test_bitmap_is_sparks_hash(spark):
     b = common.bitmap(spark.range(500).selectExpr("id * 7919 - 100 k"), "k", 14)
     assert common.in_bitmap(b, np.arange(500, dtype=np.int64) * 7919 - 100).all()
