@@ -2,7 +2,8 @@
 
 The gear hash h = (h << 1) + GEAR[byte] over the bytes of a text, 32 bits wide, depends on the last 32 bytes only. Its value
 where a word ends is the word's mark; a chunk ends behind a word whose mark is the highest of REACH words to either side
-(the first of equal ones), and after MOST words at the latest. So boundaries follow the content: an insertion moves those
+(the first of equal ones), and after MOST words at the latest. Where marks come again within REACH words, as in a word said
+over and over, there is no first one; a chunk then ends at such a mark STEP words or more behind the last end. So boundaries follow the content: an insertion moves those
 near it and no others. A chunk's digest is the 128-bit xxHash of its bytes, every white-space byte read as a space.
 
 Of each digest the first chunk by (doc_id, text hash, place) stays; later ones are duplicates. A run of adjacent duplicate
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from tarnwise.llm.common import cut, mix, ship, slices
 
 REACH, MOST, LEAST = 3, 256, 16
+#: A multiple of all periods up to REACH, so that all chunks in the midst of periodic text are alike.
+STEP = 12
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
 #: White space to a space; nothing else changes.
 SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
@@ -39,6 +42,16 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def spaced(at: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Those of the places `at` that are in top or STEP words or more behind the last that stays."""
+    out, last = [], -1
+    for k, sure in zip(at.tolist(), top[at].tolist()):
+        if sure or k - last >= STEP:
+            out.append(k)
+            last = k
+    return np.array(out, np.int64)
+
+
 def ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the chunks of one text end (bytes), and their numbers of words. data has no white space but spaces."""
     a = np.frombuffer(data, np.uint8)
@@ -50,10 +63,17 @@ def ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(mark)
     wide = np.full(n + 2 * REACH, -1, np.int64)
     wide[REACH : REACH + n] = mark
-    top = np.ones(n, bool)
+    top, level, again = np.ones(n, bool), np.ones(n, bool), np.zeros(n, bool)
     for k in range(1, REACH + 1):
-        top &= (mark > wide[REACH - k : REACH - k + n]) & (mark >= wide[REACH + k : REACH + k + n])
-    at = np.flatnonzero(top)
+        left = wide[REACH - k : REACH - k + n]
+        high = mark >= wide[REACH + k : REACH + k + n]
+        top &= (mark > left) & high
+        level &= (mark >= left) & high
+        again |= mark == left
+    level &= again
+    at = np.flatnonzero(top | level)
+    if level.any():
+        at = spaced(at, top)
     if not len(at) or at[-1] != n - 1:
         at = np.append(at, n - 1)
     gaps = np.diff(np.append(-1, at))

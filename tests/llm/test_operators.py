@@ -115,6 +115,19 @@ def test_substrings_cut_later_passages_only(spark):
     assert all(r.n_spans == 0 for r in twice)
 
 
+def test_runs_of_repeated_words_are_cut(spark):
+    rnd = random.Random(8)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 9))) for _ in range(n))
+    unit = [["lorem"], ["lorem", "ip"], ["lorem", "ip", "dolore"], ["a"]]
+    for words in unit:
+        run = lambda n, words=words: " ".join((words * n)[:n])
+        rows = [(k, f"{say(80 + 7 * k)} {run(51 + 11 * k)} {say(70)}", "en") for k in range(4)] + [(9, say(300), "en")]
+        out = {r.doc_id: r for r in substrings.dedupe(docs(spark, rows)).collect()}
+        assert all(out[k].n_spans and out[k].cut_words >= 24 for k in (1, 2, 3)) and out[9].text == rows[4][1]
+        left = {k: out[k].text.split() for k in range(4)}
+        assert all(left[k][: 80 + 7 * k] == rows[k][1].split()[: 80 + 7 * k] and left[k][-70:] == rows[k][1].split()[-70:] for k in range(4))
+
+
 def test_gear_depends_on_32_bytes():
     a, b = b"x" * 100 + b"some words that follow here and on", b"other" + b"some words that follow here and on"
     assert substrings.gear(np.frombuffer(a, np.uint8))[-1] == substrings.gear(np.frombuffer(b, np.uint8))[-1]
