@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwise.llm.common import cut, mix, ship, slices
+from tarnwise.llm.common import SLICE, mix, ship, slices
 
 REACH, MOST, LEAST = 3, 256, 16
 #: A multiple of all periods up to REACH, so that all chunks in the midst of periodic text are alike.
@@ -42,6 +42,16 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def marks(data: np.ndarray, last: np.ndarray, size: int = SLICE) -> np.ndarray:
+    """The rolling hash behind the bytes `last`, `size` bytes of data at a time, each with the 32 bytes before it."""
+    out = np.zeros(len(last), np.int64)
+    for at in range(0, len(data), size):
+        lo, hi = np.searchsorted(last, (at, at + size))
+        before = max(0, at - 32)
+        out[lo:hi] = gear(data[before : at + size])[last[lo:hi] - before]
+    return out
+
+
 def spaced(at: np.ndarray, top: np.ndarray) -> np.ndarray:
     """Those of the places `at` that are in top or STEP words or more behind the last that stays."""
     out, last = [], -1
@@ -59,7 +69,7 @@ def ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     last = np.flatnonzero(ink & ~np.append(ink[1:], False))  # last bytes of words
     if not len(last):
         return (np.array([len(data)]), np.array([0])) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    mark = gear(a)[last].astype(np.int64)
+    mark = marks(a, last)
     n = len(mark)
     wide = np.full(n + 2 * REACH, -1, np.int64)
     wide[REACH : REACH + n] = mark
@@ -94,16 +104,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in slices(texts, 8 << 20):
             owner, at, to, words, digests = [], [], [], [], []
             for k in range(lo, hi):
-                base = 0
-                for part in cut(texts[k]):
-                    stop, n = ends(part)
-                    begin = np.append(0, stop[:-1]) if len(stop) else stop
-                    digests += [xxhash.xxh3_128_digest(part[s:e].rstrip(b" ")) for s, e in zip(begin.tolist(), stop.tolist())]
-                    owner.append(np.full(len(stop), k))
-                    at.append(begin + base)
-                    to.append(stop + base)
-                    words.append(n)
-                    base += len(part)
+                stop, n = ends(texts[k])
+                begin = np.append(0, stop[:-1]) if len(stop) else stop
+                digests += [xxhash.xxh3_128_digest(texts[k][s:e].rstrip(b" ")) for s, e in zip(begin.tolist(), stop.tolist())]
+                owner.append(np.full(len(stop), k))
+                at.append(begin)
+                to.append(stop)
+                words.append(n)
             if not digests:
                 continue
             owner, at, to, words = (np.concatenate(x) for x in (owner, at, to, words))

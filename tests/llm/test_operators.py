@@ -128,6 +128,18 @@ def test_runs_of_repeated_words_are_cut(spark):
         assert all(left[k][: 80 + 7 * k] == rows[k][1].split()[: 80 + 7 * k] and left[k][-70:] == rows[k][1].split()[-70:] for k in range(4))
 
 
+def test_chunks_do_not_depend_on_slices(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 9))) for _ in range(5000)]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    long = say(170_000)
+    assert len(long) > common.SLICE + 50_000
+    data = np.frombuffer(long.encode(), np.uint8)
+    assert (substrings.marks(data, np.arange(len(data)), 1000) == substrings.gear(data)).all()
+    out = {r.doc_id: r for r in substrings.dedupe(docs(spark, [(0, long, "en"), (1, f"{say(30)} {long}", "en")])).collect()}
+    assert out[0].n_spans == 0 and out[1].n_spans == 1 and len(out[1].text.split()) < 60
+
+
 def test_gear_depends_on_32_bytes():
     a, b = b"x" * 100 + b"some words that follow here and on", b"other" + b"some words that follow here and on"
     assert substrings.gear(np.frombuffer(a, np.uint8))[-1] == substrings.gear(np.frombuffer(b, np.uint8))[-1]
