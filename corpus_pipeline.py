@@ -18,7 +18,13 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that is more likely than all others together, go. The labelled documents teach, about 4,000 of each language."""
+    """Documents without a letter, or without a language that is more likely than all others together, go. The labelled documents teach, about 4,000 of each language.
+
+    If no document has a letter and a language, there is none to tell apart, and all documents with a letter stay.
+    """
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    if lettered.where(F.col("lang").isNotNull()).isEmpty():
+        return lettered
     found = language.identify(docs, docs.select("doc_id", "text", "lang"), prefix="__")
     return found.where((F.col("__lang_pred") != "und") & (F.col("__score") >= SURE)).select(*docs.columns)
 

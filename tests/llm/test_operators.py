@@ -346,3 +346,31 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert out and all(len(r.token_ids) == r.n_tokens for r in out)
+
+
+def test_language_stage_keeps_documents_when_nothing_is_labelled(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "\u00dcber", None)]
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs(spark, rows), "").collect()} == {1, 4}
+    taught = [(k, "the cat and the dog", "en") for k in range(5, 8)]
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs(spark, rows + taught), "").collect()} == {1, 4, 5, 6, 7}
+
+
+def test_pipeline_does_the_whole_job(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 9))) for _ in range(n))
+    passage, item, whole = say(60), say(20), say(90)
+    texts = {1: whole, 2: whole, 3: f"{say(80)} {passage} {say(60)}", 4: f"{say(80)} {passage} {say(60)}", 5: f"{say(50)} {item} {say(50)}", 6: item, 7: say(70), 8: "12 34", 9: None}
+    docs(spark, [(k, t, None if k == 7 else "en") for k, t in texts.items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 3, 4, 5, 7]
+    without = " ".join([*texts[5].split()[:50], *texts[5].split()[70:]])
+    alone = docs(spark, [(k, without if k == 5 else texts[k], "en") for k in (1, 3, 5, 7)])
+    want = {r.doc_id: r for r in bpe.tokenize(alone, keep=["doc_id", "lang", "source"], with_ids=True).collect()}
+    assert all(got[k].token_ids == want[k].token_ids for k in want)
+    full = bpe.tokenize(docs(spark, [(4, texts[4], "en")]), keep=["doc_id", "lang", "source"], with_ids=True).collect()[0]
+    assert got[4].n_tokens < full.n_tokens
