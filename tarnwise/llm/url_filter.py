@@ -3,9 +3,10 @@
 Two variable-order Markov models over a 32-letter alphabet, one of accepted and one of rejected URLs, are learned from the URLs
 that a rule decides. A context of up to three letters backs off to shorter ones by Witten-Bell interpolation, so a context
 that was never seen leaves the word to the next shorter one. A URL's score is the difference of the two log-likelihoods
-divided by its length. The threshold is the one that parts the ruled URLs of a held-out fifth best (balanced accuracy).
+divided by its length. The threshold is the one that parts the ruled URLs best (balanced accuracy), each scored by models of
+the FOLDS - 1 folds that it isn't in.
 
-The counts cover every ruled URL; a model has 32**4 cells at most, so what reaches the driver and the broadcast is bounded
+The counts and the threshold cover every ruled URL; a model has 32**4 cells at most, so what reaches the driver and the broadcast is bounded
 by the alphabet, not by the input.
 """
 
@@ -26,6 +27,8 @@ ORDER, BITS = 3, 5
 CELLS = 1 << BITS * (ORDER + 1)
 #: Bins of the calibration histogram over scores from -SPAN to SPAN.
 BINS, SPAN = 4096, 8.0
+#: Parts of the ruled URLs, by hash.
+FOLDS = 5
 
 
 def _alphabet() -> np.ndarray:
@@ -92,14 +95,17 @@ def log_probs(count: np.ndarray) -> np.ndarray:
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = {}
     for b in batches:
-        kind = np.array(b.column("verdict").to_pylist(), object)
-        urls = b.column("url").to_pylist()
+        kind, fold = np.array(b.column("verdict").to_pylist(), object), b.column("fold").to_numpy()
+        urls = np.array(b.column("url").to_pylist(), object)
         for v in ("allow", "block"):
-            got = codes([u for u, k in zip(urls, kind) if k == v])[0]
-            total[v] = total.get(v, 0) + np.bincount(got, minlength=CELLS)
-    for v, c in total.items():
+            for k in range(FOLDS):
+                own = urls[(kind == v) & (fold == k)].tolist()
+                if own:
+                    got = codes(own)[0]
+                    total[v, k] = total.get((v, k), 0) + np.bincount(got, minlength=CELLS)
+    for (v, k), c in total.items():
         at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([v] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["verdict", "code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([v == "block"] * len(at), pa.bool_()), pa.array(np.full(len(at), k, np.int8)), pa.array(at), pa.array(c[at])], names=["block", "fold", "code", "n"])
 
 
 def score(urls: list[str | None], table: np.ndarray) -> np.ndarray:
@@ -111,23 +117,29 @@ def score(urls: list[str | None], table: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame) -> tuple[np.ndarray, float]:
     """Log-ratio table and threshold from rows (url, verdict), verdict not null. Without URLs of either kind all is allowed."""
-    held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    counts = rows.where(~held).mapInArrow(_counter, "verdict string, code long, n long").groupBy("verdict", "code").agg(F.sum("n").alias("n")).toPandas()
-    by = {v: np.zeros(CELLS) for v in ("allow", "block")}
-    for v, part in counts.groupby("verdict"):
-        by[v][part["code"].to_numpy()] = part["n"].to_numpy()
-    if not all(c.sum() for c in by.values()):
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("byte"))
+    counts = rows.mapInArrow(_counter, "block boolean, fold byte, code long, n long").groupBy("block", "fold", "code").agg(F.sum("n").alias("n")).toPandas()
+    by = np.zeros((2, FOLDS, CELLS))
+    by[counts["block"].to_numpy(np.int64), counts["fold"].to_numpy(np.int64), counts["code"].to_numpy()] = counts["n"].to_numpy()
+    allow, block = by.sum(1)
+    if not (allow.any() and block.any()):
         return np.zeros(CELLS), -1.0
-    table = log_probs(by["allow"]) - log_probs(by["block"])
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    table = log_probs(allow) - log_probs(block)
+    # a fold whose others lack a kind can't be scored by them
+    others = [(allow - by[0, k], block - by[1, k]) for k in range(FOLDS)]
+    tables = {k: log_probs(x) - log_probs(y) for k, (x, y) in enumerate(others) if x.any() and y.any()}
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = score(b.column("url").to_pylist(), shared.value)
-            bins = np.clip((x + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("verdict"), pa.array(bins)], names=["verdict", "bin"])
-
-    bins = rows.where(held).mapInArrow(scored, "verdict string, bin long").groupBy("verdict", "bin").count().toPandas()
+            fold, urls = b.column("fold").to_numpy(), np.array(b.column("url").to_pylist(), object)
+            for k, own in shared.value.items():
+                at = np.flatnonzero(fold == k)
+                x = score(urls[at].tolist(), own)
+                bins = np.clip((x + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("verdict").take(pa.array(at)), pa.array(bins)], names=["verdict", "bin"])
+
+    bins = rows.mapInArrow(scored, "verdict string, bin long").groupBy("verdict", "bin").count().toPandas()
     got = {v: np.zeros(BINS) for v in ("allow", "block")}
     for v, part in bins.groupby("verdict"):
         got[v][part["bin"].to_numpy()] = part["count"].to_numpy()

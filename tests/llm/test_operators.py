@@ -50,6 +50,16 @@ def test_url_rules_and_model(spark):
     assert (out[0].host, out[0].path, out[5].host, out[5].path) == ("a.org", "/x", "", "")
 
 
+def test_every_ruled_url_is_counted_and_calibrates(spark):
+    rnd = random.Random(2)
+    rows = [(f"http://a{rnd.randint(0, 9999)}.{'com' if k % 2 else 'org'}/{'de' if k % 2 else 'x'}/{k}", "block" if k % 2 else "allow") for k in range(400)] + [("http://hot.org/qqq", "allow")] * 300
+    table, limit = url_filter.fit(spark.createDataFrame(rows, "url string, verdict string"))
+    count = {v: np.bincount(url_filter.codes([u for u, w in rows if w == v])[0], minlength=url_filter.CELLS) for v in ("allow", "block")}
+    assert np.allclose(table, url_filter.log_probs(count["allow"]) - url_filter.log_probs(count["block"]))
+    x = url_filter.score([u for u, _ in rows], table)
+    assert np.mean([(s >= limit) == (v == "allow") for s, (_, v) in zip(x, rows)]) > 0.95
+
+
 def test_log_probs_sum_to_one_and_match_brute_force():
     rnd = np.random.default_rng(0)
     count = np.zeros(url_filter.CELLS)
