@@ -384,3 +384,52 @@ def test_pipeline_does_the_whole_job(spark, tmp_path):
     assert all(got[k].token_ids == want[k].token_ids for k in want)
     full = bpe.tokenize(docs(spark, [(4, texts[4], "en")]), keep=["doc_id", "lang", "source"], with_ids=True).collect()[0]
     assert got[4].n_tokens < full.n_tokens
+
+
+def test_text_queries_match_brute_force(spark, tmp_path):
+    import zlib
+
+    import public_tokenizers
+    import tiktoken
+
+    rnd = random.Random(33)
+    vocab = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(300)]
+    say = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    items, passage, base = [say(14), say(12), "only three words"], say(60), [say(30) for _ in range(4)]
+    texts = {k: say(80) for k in range(6)} | {k: f"{say(40)} {passage} {say(40)}" for k in (10, 11)} | {k: f"{say(20)} {items[k % 3]} {say(9)}" for k in range(20, 29)}
+    texts |= {k: " ".join([*base[k % 4].split()[: 30 - k % 3], f"x{k % 5}"]) for k in range(40, 64)} | {70: None, 71: "", 72: "One two"}
+    docs(spark, [(k, t, "en" if k % 2 else "de") for k, t in texts.items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda query: {r.doc_id: r for r in query(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    found = run(decontaminate.op10_suffix_automaton_decontamination)
+    cut = run(substrings.op5_gear_chunk_dedup)
+    langs = run(language.op6_segmentation_language_id)
+    tokens = run(bpe.op7_prefix_bpe)
+    parts = run(jaccard.op9_jaccard_metric_join)
+    assert all(x.keys() == texts.keys() for x in (found, cut, langs, tokens, parts))
+
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.rank_file()), special_tokens={})
+    s, root = {i: sets(t) for i, t in texts.items()}, {i: i for i in texts}
+    for _ in texts:
+        for i in texts:
+            for j in texts:
+                if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    for k, text in texts.items():
+        words, hit, names = decontaminate.split(text), set(), set()
+        for name, item in enumerate(map(decontaminate.split, items)):
+            n = min(10, len(item))
+            windows = {tuple(item[a : a + n]) for a in range(len(item) - n + 1)}
+            for a in range(len(words) - n + 1):
+                if tuple(words[a : a + n]) in windows:
+                    hit |= set(range(a, a + n))
+                    names.add(str(name))
+        assert (found[k].n_words, found[k].n_hit, found[k].items_sha256, found[k].contaminated) == (len(words), len(hit), sha(",".join(sorted(names))), bool(hit))
+        ids = lib.encode_ordinary(text or "")
+        assert tokens[k].n_tokens == len(ids) and tokens[k].ids_sha256 == sha(",".join(map(str, ids))) and tokens[k].decoded_sha256 == sha(text or "")
+        assert (parts[k].n_shingles, parts[k].component_id) == (len(s[k]), root[k])
+        assert langs[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) and (langs[k].lang_pred == "und") == (not text)
+        assert cut[k].repeats == (cut[k].n_spans > 0) and (cut[k].repeats or cut[k].text_sha256 == sha(text or ""))
+    assert cut[11].repeats and not any(cut[k].repeats for k in [*range(6), 10, *range(20, 29)])
