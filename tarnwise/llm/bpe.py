@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from tarnwise.llm.common import held, ship, trim
+from tarnwise.llm.common import claim, held, ship, trim
 
 #: Pieces, and pairs of tokens, that a worker keeps.
 KEPT = 100_000
@@ -254,6 +254,7 @@ def tokenize(docs: DataFrame, path: str | None = None, keep: list[str] | None =
     rows = docs.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(f"bpe {path}")
         for b in batches:
             count, ids_sha, text_sha, all_ids = [], [], [], []
             for found in split_texts(b.column("__text"), path):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwise.llm.common import ship
+from tarnwise.llm.common import lean, ship
 
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -79,6 +79,7 @@ def render(role: str, body: str) -> str:
             r, b = escape_role(role), escape(body)
 
 
+@lean("chat")
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [render(r or "", x or "") for r, x in zip(b.column("role").to_pylist(), b.column("text").to_pylist())]
@@ -100,6 +101,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
 _DIGEST = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
 
+@lean("chat")
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Folds the segments of each conversation, which lie one after another, with two running digests and four counters."""
     done: list[tuple] = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import os
 import uuid
@@ -21,16 +22,28 @@ SLICE = 1 << 20
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, whatever the rows' width.
 BATCH_BYTES = 8 << 20
+#: Python workers keep little of what they have freed, and one thread each.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1000000", "OPENBLAS_NUM_THREADS": "1"}
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers that start later import this package where it is not installed, and bound the batches they get."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
+    for name, value in LEAN.items():
+        env.setdefault(name, value)
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def whole_number(df: DataFrame, *names: str) -> None:
+    """Ids are compared as longs: a checked precondition of the operators that say so."""
+    kinds = dict(df.dtypes)
+    for name in names:
+        if kinds[name] not in ("tinyint", "smallint", "int", "bigint", "void"):
+            raise TypeError(f"{name} is {kinds[name]}; this operator takes whole numbers as ids, so number the rows first")
+
+
 _HELD: dict[str, object] = {}
 
 
@@ -47,10 +60,26 @@ def claim(key: str) -> None:
     """Drops what held() keeps under another key."""
     if _HELD and key not in _HELD:
         _HELD.clear()
+        _POW.clear()
         gc.collect()
         trim()
 
 
+def lean(key: str) -> Callable[[Callable], Callable]:
+    """A mapInArrow function that begins without other operators' tables and gives its memory back at the end of a task."""
+
+    def wrap(run: Callable) -> Callable:
+        @functools.wraps(run)
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim(key)
+            yield from run(batches)
+            trim()
+
+        return task
+
+    return wrap
+
+
 def held(key: str, make: Callable[[], object]) -> object:
     """make(), kept in this process until another key is claimed: a worker lives through many stages, and holds the tables of one."""
     claim(key)
@@ -60,9 +89,11 @@ def held(key: str, make: Callable[[], object]) -> object:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; /tmp/checkpoints where it is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Unset, a folder of this machine will do in local mode only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file:///tmp/checkpoints"
     return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 

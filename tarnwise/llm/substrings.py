@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwise.llm.common import SLICE, mix, ship, slices
+from tarnwise.llm.common import SLICE, lean, mix, ship, slices, whole_number
 
 REACH, MOST, LEAST = 3, 256, 16
 #: A multiple of all periods up to REACH, so that all chunks in the midst of periodic text are alike.
@@ -97,6 +97,7 @@ def ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 _CHUNK = "doc_id long, text_hash long, hi long, lo long, at int, to int, words int, again boolean"
 
 
+@lean("substrings")
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, hashes = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("text_hash").to_numpy()
@@ -141,10 +142,11 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Rows (doc_id, text_hash, spans, cut_words) of those documents (doc_id, text) from which something is cut.
 
     Rows with the same doc_id and the same text are one document and don't make each other duplicates; other rows with the
-    same doc_id are documents of their own, in the order of their text hashes. A null doc_id takes no part. Null and empty
-    texts have no chunks.
+    same doc_id are documents of their own, in the order of their text hashes. A null doc_id takes no part; one that is no
+    whole number is a TypeError. Null and empty texts have no chunks.
     """
     ship(docs.sparkSession)
+    whole_number(docs, "doc_id")
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     chunks = rows.mapInArrow(_chunks, _CHUNK)
     spread = F.when(F.col("again"), F.xxhash64("doc_id", "text_hash", "at")).otherwise(F.lit(0))

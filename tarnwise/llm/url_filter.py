@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwise.llm.common import ship
+from tarnwise.llm.common import lean, ship
 
 #: (verdict, host, path). Fixed values of the contract.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -92,6 +92,7 @@ def log_probs(count: np.ndarray) -> np.ndarray:
     return np.log(p).reshape(-1)
 
 
+@lean("urls")
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = {}
     for b in batches:
@@ -130,6 +131,7 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, float]:
     tables = {k: log_probs(x) - log_probs(y) for k, (x, y) in enumerate(others) if x.any() and y.any()}
     shared = rows.sparkSession.sparkContext.broadcast(tables)
 
+    @lean("urls")
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fold, urls = b.column("fold").to_numpy(), np.array(b.column("url").to_pylist(), object)
@@ -164,6 +166,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     table, limit = fit(rows.where(F.col("verdict").isNotNull()).select("url", "verdict"))
     shared = pages.sparkSession.sparkContext.broadcast(table)
 
+    @lean("urls")
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = score(b.column("url").to_pylist(), shared.value)
