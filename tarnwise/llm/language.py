@@ -1,7 +1,7 @@
 """Language ID by segmentation-marginalised unigrams.
 
 The vocabulary is the fixed piece list of a public tokenizer; nothing but the probability of each piece in each language is
-learned. A word (a run of letters, in lower case, behind the word mark; 32 letters of it at a time) can be cut into pieces in many ways; its probability
+learned. A word (a run of letters, of any length, in lower case, behind the word mark) can be cut into pieces in many ways; its probability
 is the sum over all of them, which the forward algorithm adds up from left to right. A text's score is the sum over its words.
 The piece probabilities come from expectation-maximisation over the words of labelled rows: each round, the forward-backward
 algorithm gives every piece its expected count in each language.
@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from tarnwise.llm.common import claim, held, materialize, ship, trim
+from tarnwise.llm.common import held, lean, materialize, ship, trim
 
 SAMPLE, ROUNDS, LEAST = 4_000, 2, 0.01
-#: Letters of the widest piece of vocabulary() (nothing is cut at it), letters of a run that are scored at once, and the least probability of a piece.
-WIDE, LONG, FLOOR = 16, 32, 1e-9
+#: Places of a word that the recurrence passes between two scalings (FLOOR ** WINDOW is within the doubles' range), and the least probability of a piece.
+WINDOW, FLOOR = 24, 1e-9
 #: Tokens whose scores a worker keeps, and letters of text that it scores at once.
-KEPT, AT_ONCE = 200_000, 4 << 20
+KEPT, AT_ONCE = 150_000, 1 << 20
 WORDS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 
@@ -72,79 +72,103 @@ class Lattice:
                 self.root[ord(x)] = k
             self.piece[k] = self.ids.get(x, 0)
 
-    def pieces(self, words: list[str]) -> np.ndarray:
-        """For words of one length n: piece [word, start, width - 1], 0 for none; starts count the mark before the word.
-
-        Widths go as far as any of the words has a piece.
-        """
-        n = len(words[0]) + 1
-        codes = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
-        node, letter = self.root[codes], self.letter[codes]
-        out = np.zeros((len(words), n, min(self.wide, n)), np.int32)
+    @staticmethod
+    def codes(words: list[str]) -> np.ndarray:
+        """[word, place]: the characters of words of one length, behind the word mark."""
+        return np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+
+    def pieces(self, codes: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Piece [word, start - lo, width - 1], 0 for none, of the starts lo up to hi; widths go as far as any of the words has a piece."""
+        n = codes.shape[1]
+        hi = n if hi is None else min(hi, n)
+        seen = codes[:, lo : hi + self.wide - 1]
+        node, letter = self.root[seen[:, : hi - lo]], self.letter[seen]
+        out = np.zeros((len(codes), hi - lo, min(self.wide, n - lo)), np.int32)
         out[:, :, 0] = self.piece[node]
         out[:, :, 0][out[:, :, 0] == 0] = 1
         widest = 1
         for w in range(1, out.shape[2]):
-            before = node[:, : n - w]
-            node = self.step[np.where(before > self.inner, 0, before), letter[:, w:]]
+            starts = min(hi - lo, seen.shape[1] - w)
+            before = node[:, :starts]
+            node = self.step[np.where(before > self.inner, 0, before), letter[:, w : w + starts]]
             if not node.any():
                 break
-            out[:, : n - w, w] = found = self.piece[node]
+            out[:, :starts, w] = found = self.piece[node]
             if found.any():
                 widest = w + 1
         return out[:, :, :widest]
 
 
-def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """[word, place, ...]: the sum over all segmentations up to each place. p: [piece, ...], 0 for piece 0."""
-    words, n, wide = ids.shape
-    a = np.zeros((words, n + 1, *p.shape[1:]))
+def log_sums(lat: Lattice, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """[word, ...]: the logarithm of the sum over all segmentations of each word. p: [piece, ...], 0 for piece 0.
+
+    The recurrence runs through WINDOW places at a time and is scaled in between, so words may have any length.
+    """
+    words, n = codes.shape
+    a, scale = np.zeros((words, WINDOW + lat.wide, *p.shape[1:])), np.zeros((words, *p.shape[1:]))
     a[:, 0] = 1
-    for j in range(1, n + 1):
-        i = np.arange(max(0, j - wide), j)
-        a[:, j] = np.einsum("wi...,wi...->w...", a[:, i[0] : j], p[ids[:, i, j - 1 - i]])
-    return a
-
-
-def expected(ids: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected count of each piece over all segmentations of all words, each word counted `weight` times. p: [piece]."""
-    words, n, wide = ids.shape
-    a, b, out = forward(ids, p), np.zeros((words, n + 1)), np.zeros(len(p))
-    b[:, n] = 1
-    for i in range(n - 1, -1, -1):
-        for w in range(1, min(wide, n - i) + 1):
-            x = p[ids[:, i, w - 1]] * b[:, i + w]
-            b[:, i] += x
-            out += np.bincount(ids[:, i, w - 1], a[:, i] * x / a[:, n] * weight, len(p))
+    for lo in range(0, n, WINDOW):
+        ids = lat.pieces(codes, lo, lo + WINDOW)
+        size, wide = ids.shape[1:]
+        for i in range(size):
+            a[:, i + 1 : i + 1 + wide] += a[:, i, None] * p[ids[:, i]]
+        top = a[:, size : size + lat.wide].max(1)
+        scale += np.log(top)
+        a[:, : lat.wide] = a[:, size : size + lat.wide] / top[:, None]
+        a[:, lat.wide :] = 0
+    return np.log(a[:, 0]) + scale
+
+
+def expected(lat: Lattice, codes: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected count of each piece over all segmentations of all words, each word counted `weight` times. p: [piece].
+
+    Forward sums of all places are kept, scaled by window; backward sums are kept for one window.
+    """
+    words, n = codes.shape
+    starts = list(range(0, n, WINDOW))
+    a, scales = np.zeros((words, n + 1 + WINDOW + lat.wide)), [np.zeros(words)]
+    a[:, 0] = 1
+    for lo in starts:
+        ids = lat.pieces(codes, lo, lo + WINDOW)
+        size, wide = ids.shape[1:]
+        for i in range(lo, lo + size):
+            a[:, i + 1 : i + 1 + wide] += a[:, i, None] * p[ids[:, i - lo]]
+        top = a[:, lo + size : lo + size + lat.wide].max(1)
+        a[:, lo + size : lo + size + lat.wide] /= top[:, None]
+        scales.append(scales[-1] + np.log(top))
+    total, behind = np.log(a[:, n]) + scales[-1], np.zeros(words)
+    b, out = np.zeros((words, WINDOW + lat.wide)), np.zeros(len(p))
+    ahead = np.zeros((words, lat.wide))
+    ahead[:, 0] = 1
+    for k, lo in reversed(list(enumerate(starts))):
+        ids = lat.pieces(codes, lo, lo + WINDOW)
+        size, wide = ids.shape[1:]
+        b[:] = 0
+        b[:, size : size + lat.wide] = ahead
+        share = np.exp(scales[k] + behind - total) * weight
+        for i in range(size - 1, -1, -1):
+            x = p[ids[:, i]] * b[:, i + 1 : i + 1 + wide]
+            b[:, i] = x.sum(1)
+            out += np.bincount(ids[:, i].ravel(), (x * (a[:, lo + i] * share)[:, None]).ravel(), len(p))
+        top = b[:, : lat.wide].max(1)
+        behind = behind + np.log(top)
+        ahead = b[:, : lat.wide] / top[:, None]
     return out
 
 
-def by_length(words: list[str], most: int = 2000) -> Iterator[list[int]]:
-    """Places of words of one length, `most` at a time."""
+def by_length(words: list[str], most: int = 1 << 15) -> Iterator[list[int]]:
+    """Places of words of one length, with about `most` letters at a time."""
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         groups.setdefault(len(w), []).append(k)
-    for places in groups.values():
-        for k in range(0, len(places), most):
-            yield places[k : k + most]
-
-
-def runs(token: str) -> list[str]:
-    """The runs of letters in a token, those over LONG letters in parts of LONG."""
-    return [w[k : k + LONG] for w in WORDS.findall(token) for k in range(0, len(w), LONG)]
-
-
-_LATTICE: dict[str, Lattice] = {}
-
-
-def lattice(path: str) -> Lattice:
-    if path not in _LATTICE:
-        _LATTICE[path] = Lattice(path)
-    return _LATTICE[path]
+    for size, places in groups.items():
+        step = min(2000, max(1, most // max(1, size)))
+        for k in range(0, len(places), step):
+            yield places[k : k + step]
 
 
+@lean("counts")
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim("language")
     total: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -156,7 +180,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
             for t, n in Counter(text.as_py().lower().split()).items():
-                for w in runs(t):
+                for w in WORDS.findall(t):
                     total[lang, w] += n
         if len(total) > KEPT:
             yield flush()
@@ -176,7 +200,7 @@ def fit(rows: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np
         rows = rows.join(most, "lang", "left").where(F.col("__most").isNull() | (slot <= F.col("__most")))
     words = materialize(rows.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
-    size = lattice(path).size
+    size = Lattice(path).size
     p = np.full((len(langs), size), 1.0 / size)
     p[:, 0] = 0
     at = {x: k for k, x in enumerate(langs)}
@@ -184,9 +208,8 @@ def fit(rows: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np
         shared = spark.sparkContext.broadcast(p)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            claim("language")
+            lat = held(f"lattice {path}", lambda: Lattice(path))
             got = np.zeros((len(at), size))
-            lat = lattice(path)
             for b in batches:
                 lang, word = (b.column(c).to_pylist() for c in ("lang", "word"))
                 n = b.column("n").to_numpy()
@@ -194,7 +217,7 @@ def fit(rows: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np
                     own = [k for k, y in enumerate(lang) if y == x]
                     for part in by_length([word[k] for k in own]):
                         part = [own[k] for k in part]
-                        got[at[x]] += expected(lat.pieces([word[k] for k in part]), shared.value[at[x]], n[part])
+                        got[at[x]] += expected(lat, lat.codes([word[k] for k in part]), shared.value[at[x]], n[part])
             lang, piece = np.nonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(piece), pa.array(got[lang, piece])], names=["l", "p", "x"])
 
@@ -210,7 +233,7 @@ class Scores:
     """Log-probabilities of white-space tokens by language, and how many of a token's runs have a letter; starts anew beyond KEPT tokens."""
 
     def __init__(self, path: str, p: np.ndarray):
-        self.lat, self.p, self.at = lattice(path), np.ascontiguousarray(p.T), {}
+        self.lat, self.p, self.at = Lattice(path), np.ascontiguousarray(p.T), {}
         self.table = np.zeros((1 << 14, len(p) + 1))
 
     def add(self, tokens: list[str]) -> None:
@@ -221,11 +244,11 @@ class Scores:
         self.at.update(zip(tokens, range(first, first + len(tokens))))
         words, row = [], []
         for k, t in enumerate(tokens, first):
-            for w in (t,) if t.isalpha() and len(t) <= LONG else runs(t):
+            for w in (t,) if t.isalpha() else WORDS.findall(t):
                 words.append(w)
                 row.append(k)
         for part in by_length(words):
-            got = np.log(forward(self.lat.pieces([words[k] for k in part]), self.p)[:, -1])
+            got = log_sums(self.lat, self.lat.codes([words[k] for k in part]), self.p)
             letters = np.array([words[k].isalpha() or any(map(str.isalpha, words[k])) for k in part], float)
             np.add.at(self.table, [row[k] for k in part], np.column_stack([got, letters]))
 

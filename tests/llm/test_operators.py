@@ -155,49 +155,60 @@ def test_gear_depends_on_32_bytes():
     assert substrings.gear(np.frombuffer(a, np.uint8))[-1] == substrings.gear(np.frombuffer(b, np.uint8))[-1]
 
 
-def test_forward_sums_all_segmentations():
-    lat = language.lattice(language.vocabulary())
-    p = np.random.default_rng(0).random(lat.size) / 50
-    p[0] = 0
+def segmentations(lat, p, s):
+    """Every way to cut s into pieces of the whole vocabulary, of any width, with its probability."""
+    if not s:
+        yield 1.0, []
+    for k in range(1, len(s) + 1):
+        piece = lat.ids.get(s[:k], 1 if k == 1 else 0)
+        if piece:
+            yield from ((p[piece] * x, [piece, *rest]) for x, rest in segmentations(lat, p, s[k:]))
 
-    def brute(s):
-        if not s:
-            return 1.0
-        return sum((p[lat.ids[s[:k]]] if s[:k] in lat.ids else p[1] if k == 1 else 0) * brute(s[k:]) for k in range(1, min(len(s), language.WIDE) + 1))
 
-    for w in ("hello", "straße", "ж", "naïve"):
-        assert np.isclose(language.forward(lat.pieces([w]), p)[0, -1], brute(language.MARK + w))
+def sums(lat, p, s):
+    """The same sum from right to left, for words that have too many segmentations to list."""
+    b = [0.0] * len(s) + [1.0]
+    for i in range(len(s) - 1, -1, -1):
+        b[i] = sum(p[lat.ids.get(s[i:j], 1 if j == i + 1 else 0)] * b[j] for j in range(i + 1, len(s) + 1))
+    return b[0]
 
 
-def test_no_piece_of_the_vocabulary_is_too_wide():
+def test_words_are_summed_over_the_whole_vocabulary():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=language.vocabulary())
     normal = (sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k)))
     pieces = {p for p in normal if p == p.lower() and all(c == language.MARK or c.isalpha() for c in p)}
-    lat = language.lattice(language.vocabulary())
-    assert lat.ids.keys() == pieces | {language.MARK} and lat.wide == max(map(len, pieces)) == language.WIDE
+    lat = language.Lattice(language.vocabulary())
+    assert lat.ids.keys() == pieces | {language.MARK} and lat.wide == max(map(len, pieces))
     p = np.random.default_rng(3).random(lat.size)
     p[0] = 0
-
-    def cuts(s):
-        if not s:
-            yield 1.0, []
-        for k in range(1, len(s) + 1):
-            piece = lat.ids.get(s[:k], 1 if k == 1 else 0)
-            if piece:
-                yield from ((p[piece] * x, [piece, *rest]) for x, rest in cuts(s[k:]))
-
     long = sorted((x for x in pieces if len(x) > 7 and x[0] == language.MARK), key=lambda x: (-len(x), x))
-    for w in [x[1:] for x in (*long[:4], *long[-4:])] + ["x" + long[0][1:9]]:
-        ids = lat.pieces([w])
-        all_cuts = list(cuts(language.MARK + w))
-        total = sum(x for x, _ in all_cuts)
-        want = np.zeros(lat.size)
-        for x, used in all_cuts:
+    for w in ["hello", "straße", "ж", "naïve", *(x[1:] for x in (*long[:4], *long[-4:])), "x" + long[0][1:9]]:
+        cuts = list(segmentations(lat, p, language.MARK + w))
+        total, want = sum(x for x, _ in cuts), np.zeros(lat.size)
+        for x, used in cuts:
             np.add.at(want, used, 3 * x / total)
-        assert np.isclose(language.forward(ids, p)[0, -1], total)
-        assert np.allclose(language.expected(ids, p, np.array([3])), want)
+        assert np.isclose(language.log_sums(lat, lat.codes([w]), p)[0], np.log(total))
+        assert np.allclose(language.expected(lat, lat.codes([w]), p, np.array([3])), want)
+
+
+def test_long_words_are_one_word_each():
+    lat = language.Lattice(language.vocabulary())
+    rng = np.random.default_rng(4)
+    p = rng.random((lat.size, 2))
+    p[0] = 0
+    for n in (8, 23, 24, 25, 33, 47, 48, 49, 100):
+        words = ["".join(rng.choice(list("etaonrishdß"), n)) for _ in range(3)]
+        got = language.log_sums(lat, lat.codes(words), p)
+        for w, x in zip(words, got):
+            assert np.allclose(x, [np.log(sums(lat, p[:, k], language.MARK + w)) for k in range(2)])
+        count = language.expected(lat, lat.codes(words), p[:, 0], np.array([1, 2, 3]))
+        width = np.array([0, 1, *map(len, lat.ids)])
+        assert np.isclose((count * width).sum(), 6 * (n + 1))  # the pieces' widths add up to the words
+    endless = np.maximum(p / p.sum(0), 1e-9)
+    endless[0] = 0
+    assert np.isfinite(language.log_sums(lat, lat.codes(["ж" * 50_000]), endless)).all()
 
 
 def test_rare_language_is_learned_beside_a_large_one(spark):
