@@ -5,23 +5,28 @@ holds every run of words of every item. A document is streamed through it word b
 words up to here that some item has. Where that is WINDOW words or more, the last WINDOW words stand in the items of the
 state that holds them, and an item of fewer words is found as a suffix of the state's run.
 
-The automaton is built over blocks of BLOCK item words (long items are cut with an overlap of WINDOW - 1 words), so each one
-broadcast is bounded; with more items than one block holds, documents stream through one automaton after another.
+An automaton is built over a block of BLOCK item words (long items are cut with an overlap of WINDOW - 1 words), so it is
+bounded, as is what is broadcast. With more items than one block holds, a worker holds one automaton at a time and passes it
+over some texts before it takes the next; after MANY blocks the rows are written with what was found, and read again.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from tarnwise.llm.common import ship
+from tarnwise.llm.common import held, lean, materialize, ship
 
 WINDOW, BLOCK = 10, 200_000
+#: Blocks whose automata are sent out at once, and bytes of text that a worker holds while they pass over it one after another.
+MANY, HOLD = 16, 8 << 20
 #: Words of the shortest item that clean() cuts out of longer texts; fewer words say nothing by themselves.
 SHORT = 3
 #: All but words to spaces, A-Z to a-z.
@@ -161,6 +166,64 @@ def merge(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
+def _pass(rows: DataFrame, packed: list, named: list[str], first: bool, finish: Callable, schema: StructType) -> DataFrame:
+    """rows through the automata of one list of blocks. packed: broadcasts of pickled automata, of which a worker holds one at a time.
+
+    Texts are held HOLD bytes at a time, and each automaton passes over them. named: the columns of counts, spans and items;
+    finish(batch, counts, spans, items) makes what is sent on.
+    """
+    mine = [f"automaton {uuid.uuid4().hex}" for _ in packed]
+
+    @lean(mine[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(some: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [[([], set()) if first else (x, set(y)) for x, y in (zip([()] * b.num_rows, [()] * b.num_rows) if first else zip(b.column(named[1]).to_pylist(), b.column(named[2]).to_pylist()))] for b in some]
+            counts = [[0] * b.num_rows for b in some]
+            for key, blob in zip(mine, packed):
+                automaton = held(key, lambda blob=blob: pickle.loads(blob.value))
+                for i, b in enumerate(some):
+                    for k, text in enumerate(b.column("text")):
+                        words = split(text.as_py())
+                        counts[i][k] = len(words)
+                        got, names = automaton.match(words)
+                        if got:
+                            old, seen = found[i][k]
+                            flat = [x for span in got for x in span]
+                            found[i][k] = (merge(old, flat) if old else flat, seen | names)
+            for b, n, got in zip(some, counts, found):
+                yield finish(b, n, [x for x, _ in got], [sorted(y) for _, y in got])
+
+        some, size = [], 0
+        for b in batches:
+            some.append(b)
+            size += b.column("text").nbytes
+            if size >= HOLD or len(packed) == 1:
+                yield from work(some)
+                some, size = [], 0
+        if some:
+            yield from work(some)
+
+    return rows.mapInArrow(run, schema)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int, most: int, named: list[str], finish: Callable, schema: StructType) -> DataFrame:
+    """docs through all blocks of the benchmark, MANY blocks in a pass. Between passes the rows are written to the shared folder, with what was found so far."""
+    spark = docs.sparkSession
+    ship(spark)
+    keep, rows, packed, first = docs.columns, docs, [], True
+    between = StructType(list(docs.schema.fields)).add(named[0], LongType()).add(named[1], ArrayType(LongType())).add(named[2], ArrayType(StringType()))
+
+    def add(b: pa.RecordBatch, counts: list, spans: list, items: list) -> pa.RecordBatch:
+        cols = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, *named])
+
+    for block in list_or_one(blocks(benchmark, window, most)):
+        if len(packed) == MANY:
+            rows, packed, first = materialize(_pass(rows, packed, named, first, add, between)), [], False
+        packed.append(spark.sparkContext.broadcast(pickle.dumps(Automaton(block, window), pickle.HIGHEST_PROTOCOL)))
+    return _pass(rows, packed, named, first, finish or add, schema or between)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK, prefix: str = "") -> DataFrame:
     """docs (text, ...) with n_words long, spans array<long> (flat pairs of word numbers, end exclusive) and items array<string> (sorted).
 
@@ -168,32 +231,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
     repeats counts once; a null one is the empty string. Repeated rows and empty tables are as any other. Columns of docs
     named n_words, spans or items are replaced, unless the new names get a prefix.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    new = [prefix + c for c in ("n_words", "spans", "items")]
-    rows = docs.drop(*new)
-    schema = StructType(list(rows.schema.fields)).add(new[0], LongType()).add(new[1], ArrayType(LongType())).add(new[2], ArrayType(StringType()))
-    keep = rows.columns
-    for k, block in enumerate(list_or_one(blocks(benchmark, window, most))):
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for b in batches:
-                counts, spans, items = [], [], []
-                before = zip(b.column(new[1]).to_pylist(), b.column(new[2]).to_pylist()) if k else iter(lambda: ([], []), None)
-                for text, (old, named) in zip(b.column("text"), before):
-                    words = split(text.as_py())
-                    got, found = automaton.match(words)
-                    counts.append(len(words))
-                    flat = [x for span in got for x in span]
-                    spans.append(merge(old, flat) if old else flat)
-                    items.append(sorted({*named, *found}))
-                cols = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, *new])
-
-        rows = rows.mapInArrow(run, schema)
-    return rows
+    named = [prefix + c for c in ("n_words", "spans", "items")]
+    return scan(docs.drop(*named), benchmark, window, most, named, None, None)
 
 
 def list_or_one(found: Iterator[list]) -> Iterator[list]:
@@ -206,27 +245,25 @@ def list_or_one(found: Iterator[list]) -> Iterator[list]:
         yield []
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, longest: int = WINDOW, coverage: float = 0.8, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, longest: int = WINDOW, coverage: float = 0.8, window: int = WINDOW, most: int = BLOCK) -> DataFrame:
     """docs without the hit spans of at least `longest` words in their texts, and without documents of which more than `coverage` of the words are hit.
 
     Spans of fewer than `window` words are whole items; those of SHORT words and more are cut, too. Items of fewer words stay
     inside longer texts, but count for `coverage`. A span goes from its first word to the start of the word after it. Texts without such spans stay as they are, null ones too.
     """
     keep = docs.columns
-    found = find(docs, benchmark, window, prefix="__")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, stay = [], []
-            for text, n, flat in zip(b.column("text"), b.column("__n_words").to_pylist(), b.column("__spans").to_pylist()):
-                hit = sum(flat[1::2]) - sum(flat[::2])
-                stay.append(not n or hit <= coverage * n)
-                spans = [(s, e) for s, e in zip(flat[::2], flat[1::2]) if e - s >= min(longest, n) or SHORT <= e - s < window]
-                texts.append(without(text.as_py(), spans) if spans and stay[-1] else text.as_py())
-            cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(cols, names=keep).filter(pa.array(stay, pa.bool_()))
-
-    return found.mapInArrow(cut, docs.schema)
+    def cut(b: pa.RecordBatch, counts: list, found: list, items: list) -> pa.RecordBatch:
+        texts, stay = [], []
+        for text, n, flat in zip(b.column("text"), counts, found):
+            hit = sum(flat[1::2]) - sum(flat[::2])
+            stay.append(not n or hit <= coverage * n)
+            spans = [(s, e) for s, e in zip(flat[::2], flat[1::2]) if e - s >= min(longest, n) or SHORT <= e - s < window]
+            texts.append(without(text.as_py(), spans) if spans and stay[-1] else text.as_py())
+        cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in keep]
+        return pa.RecordBatch.from_arrays(cols, names=keep).filter(pa.array(stay, pa.bool_()))
+
+    return scan(docs, benchmark, window, most, ["__n_words", "__spans", "__items"], cut, docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
