@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwise.llm.common import LOWER, bitmap, in_bitmap, materialize, mix, ship, slices, word_hashes
+from tarnwise.llm.common import LOWER, bitmap, in_bitmap, lean, materialize, mix, ship, slices, whole_number, word_hashes
 
 N, PERCENT = 5, 75
 EPS = 1 - PERCENT / 100
-#: Shingles in one side of a task; documents of an in-batch count, its least count, and the least sum of such counts of a frequent shingle.
-LARGE, BATCH, OFTEN, FREQUENT = 1_000_000, 8 << 20, 4, 24
+#: Shingles and documents in one side of a task; bytes of texts of an in-batch count, its least count, and the least sum of such counts of a frequent shingle.
+LARGE, MEMBERS, BATCH, OFTEN, FREQUENT = 1_000_000, 1_000, 8 << 20, 4, 24
 BITS = 22
 
 
@@ -109,6 +109,7 @@ def sieve(sizes: list[int], signatures: list[bytes]) -> np.ndarray:
     return back
 
 
+@lean("jaccard")
 def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (pivot, i, j, node, n, signature) of one task after another; the parts that the sieve leaves, each under a number that follows from its nodes."""
     now, rows, out = None, [], []
@@ -142,13 +143,14 @@ def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def placed(cells: DataFrame) -> DataFrame:
-    """cells (pivot, node, n) with task numbers i <= j. A region's blocks hold about LARGE shingles; block k meets every block, alone it meets itself."""
-    load = cells.groupBy("pivot").agg(F.ceil(F.sum(F.col("n").cast("long")) / LARGE).cast("int").alias("blocks"))
+    """cells (pivot, node, n) with task numbers i <= j. A region's blocks hold about LARGE shingles or MEMBERS documents; block k meets every block, alone it meets itself."""
+    load = cells.groupBy("pivot").agg(F.ceil(F.greatest(F.sum(F.col("n").cast("long")) / LARGE, F.count("*") / MEMBERS)).cast("int").alias("blocks"))
     dealt = cells.join(load, "pivot").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select("pivot", "node", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"))
 
 
+@lean("jaccard")
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents (doc_id, n, hi, lo, signature) and of shingles that are frequent here (s, c)."""
     names = ["doc_id", "n", "hi", "lo", "signature", "s", "c"]
@@ -238,6 +240,7 @@ class Region:
         return [(self.ids[k], self.ids[r]) for k in range(len(self.ids)) if (r := self.find(k)) != k]
 
 
+@lean("jaccard")
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one task after another, by (pivot, i, j)."""
     now, ids, sets, out = None, [], [], []
@@ -288,17 +291,20 @@ def components(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles int, component_id), one for each row of docs (doc_id, text).
 
     Null and empty texts, and texts without a word, have no shingles and are linked with nothing. Rows with the same doc_id are
-    one document that has the links of each of its texts. A null doc_id is linked with nothing; its component is null.
+    one document that has the links of each of its texts. A null doc_id is linked with nothing; its component is null. Ids that
+    are no whole numbers are a TypeError.
     Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
+    whole_number(docs, "doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = materialize(rows.mapInArrow(_profile, "doc_id long, n int, hi long, lo long, signature binary, s long, c long"))
     known = profile.where("n is not null").select("doc_id", "n", "hi", "lo", "signature")
     frequent = profile.where("c is not null").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
     late = spark.sparkContext.broadcast(bitmap(frequent, "s", BITS))
 
+    @lean("jaccard")
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for b in batches:
@@ -332,6 +338,7 @@ def components(docs: DataFrame) -> DataFrame:
     wanted = reps.join(cells.select(F.col("node").alias("lo")).distinct(), "lo", "left_semi").select("rep")
     asked = spark.sparkContext.broadcast(bitmap(wanted, "rep", BITS))
 
+    @lean("jaccard")
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy()
