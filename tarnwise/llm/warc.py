@@ -1,15 +1,16 @@
 r"""WARC archives with payload deduplication, read back into a globally ordered capture index.
 
 Writing: a page is archived as a `response` record with its HTML, or, if another page with the same payload has a smaller
-page_id, as a `revisit` record that refers to that page. Payload digests are met through counts by digest, so the hot
-payload of a third of all pages is a skewed join side that adaptive execution may split, never one group in memory. Every
+page_id, as a `revisit` record that refers to that page. Payloads meet by digest without their HTML, and those of one digest
+are dealt over several keys, so the hot payload of a third of all pages is no hot group. Every
 task writes one archive through Spark's text sink with the record terminator \r\n\r\n as line separator, gzip over the whole
 file, so any store that Spark writes to will do.
 
 Reading: each archive is streamed line by line and parsed by Content-Length, so neither an archive nor anything but one
 record is held. Every RUN records of an archive form a capture run that is sorted by URL key and timestamp. The runs' entries
 go to ranges of (URL key, timestamp, page_id) - a hot URL spreads over ranges by its timestamps - and in each range the
-pieces of the runs are merged by a loser tree. Range after range, the result is ordered over all.
+pieces of the runs are merged by a loser tree. Range after range, the result is ordered over all. An entry's offset is its
+place in the inflated archive.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwise.llm.common import shared_dir, ship
+from tarnwise.llm.common import lean, materialize, shared_dir, ship, whole_number
 
 #: Records in one sorted capture run, and entries that a merging task takes about.
 RUN, RANGE = 20_000, 100_000
+#: Keys that the pages of one payload are dealt over, and revisits that are broadcast at most.
+SALT, SMALL = 16, 10_000
 #: Payloads below this many bytes are always responses.
 LEAST = 0
 #: Capture time of page 0 where pages have no timestamp of their own, in seconds; page n is taken n seconds later.
@@ -38,12 +41,28 @@ def payload_key(html: Column) -> Column:
     return F.sha1(F.coalesce(html, F.lit("")).cast("binary"))
 
 
+def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """Distinct rows (page_id, digest, first) of the pages (page_id, html) that revisit another: the smallest page_id with the same payload is less than their own.
+
+    No HTML is shuffled, and the pages of a hot payload are dealt over SALT keys.
+    """
+    rows = pages.select("page_id", payload_key(F.col("html")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"))
+    first = rows.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
+    dealt = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    own = rows.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int").alias("salt"))
+    return own.join(dealt, ["digest", "salt"]).where("first < page_id").select("page_id", "digest", "first").distinct()
+
+
 def mark(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages (page_id, url, html, ts) with digest and refers_to: the smallest page_id with the same payload, null for that page itself."""
-    rows = pages.withColumn("digest", payload_key(F.col("html"))).withColumn("bytes", F.octet_length(F.coalesce("html", F.lit(""))).cast("long"))
-    first = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    met = rows.join(first, "digest", "left")
-    return met.withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
+    """pages (page_id, url, html, ts) with digest and refers_to: the smallest page_id with the same payload, null for that page itself.
+
+    Up to SMALL revisits are broadcast, so that pages stay where they are; more are joined by page, which no payload makes hot.
+    """
+    found = materialize(revisits(pages, least))
+    found = found.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), F.col("first").alias("refers_to"))
+    rows = pages.withColumn("digest", payload_key(F.col("html")))
+    found = F.broadcast(found) if found.count() <= SMALL else found
+    return rows.join(found, (F.col("page_id") == F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").drop("__page", "__digest")
 
 
 def record(page_id: Column, url: Column, html: Column, ts: Column, digest: Column, refers_to: Column) -> Column:
@@ -76,6 +95,7 @@ def base32(hex_digest: Column) -> Column:
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     """Archives all pages (page_id, url, html, and ts, a timestamp; else EPOCH + page_id seconds) below path."""
+    whole_number(pages, "page_id")
     ts = F.col("ts") if "ts" in pages.columns else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0)))
     rows = mark(pages.select("page_id", "url", "html", ts.alias("ts")), least)
     cols = [F.col(c) for c in ("page_id", "url", "html", "ts")]
@@ -134,7 +154,7 @@ _NAMES = [x.split()[0] for x in _ENTRY.split(", ")]
 _RUN_ENTRY = f"{_ENTRY}, run string, seq int"
 
 
-def entry(head: dict[str, str], block: bytes, archive: str, at: int, known: dict) -> tuple:
+def entry(head: dict[str, str], block: bytes, archive: str, at: int) -> tuple:
     """Index entry of a record. A response's size and digest come from its block; a revisit's from its headers."""
     http, _, payload = block.partition(b"\r\n\r\n")
     revisit = head["warc-type"] == "revisit"
@@ -150,6 +170,7 @@ def _order(e: tuple) -> tuple:
     return e[0].encode(), e[1], e[2] is not None, e[2] or 0, e[7], e[8]
 
 
+@lean("warc")
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader, archive, run, n = Reader(), None, [], 0
 
@@ -169,7 +190,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 reader, archive, n = Reader(), path, 0
             reader.line(raw)
             for head, block, at in reader.found:
-                run.append(entry(head, block, archive.rpartition("/")[2], at, {}))
+                run.append(entry(head, block, archive.rpartition("/")[2], at))
             reader.found.clear()
             if len(run) >= RUN:
                 yield close()
@@ -219,15 +240,31 @@ def loser_tree(runs: list[Iterator[tuple]], key) -> Iterator[tuple]:
         tree[0] = win
 
 
+def entries(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a run, of which one part at a time is turned into Python objects."""
+    for part in parts:
+        yield from zip(*(part.column(k).to_pylist() for k in range(len(_NAMES))))
+
+
+@lean("warc")
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range: its rows come run by run, each run in its order."""
-    runs: dict[str, list[tuple]] = {}
+    """One range, of about RANGE entries, kept as Arrow slices: its rows come run by run, each run in its order."""
+    runs: list[list[pa.RecordBatch]] = []
+    now = None
     for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        for row in zip(*cols):
-            runs.setdefault(row[9], []).append(row[:9])
+        names = b.column("run")
+        at = 0
+        while at < b.num_rows:
+            run, to = names[at].as_py(), at + 1
+            while to < b.num_rows and names[to].as_py() == run:
+                to += 1
+            if run != now:
+                runs.append([])
+                now = run
+            runs[-1].append(b.slice(at, to - at))
+            at = to
     out = []
-    for row in loser_tree([iter(r) for r in runs.values()], _order):
+    for row in loser_tree([entries(r) for r in runs], _order):
         out.append(row)
         if len(out) == 10_000:
             yield to_batch(out, _ENTRY)
@@ -237,12 +274,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark, path: str) -> DataFrame:
-    """Capture index of all archives below path, in the order of (url_key, ts, page_id)."""
+    """Capture index of all archives below path, in the order of (url_key, ts, page_id). Archives are read once; their sorted runs are written to the shared folder."""
     ship(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("line"))
-    runs = lines.mapInArrow(_runs, _RUN_ENTRY)
-    n = max(1, -(-int(spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(spark._jvm.org.apache.hadoop.fs.Path(path)).getLength()) // (256 * RANGE)))
-    ranged = runs.repartitionByRange(max(n, spark.sparkContext.defaultParallelism), "url_key", "ts", "page_id").sortWithinPartitions("run", "seq")
+    runs = materialize(lines.mapInArrow(_runs, _RUN_ENTRY))
+    ranges = max(spark.sparkContext.defaultParallelism, -(-runs.count() // RANGE))
+    ranged = runs.repartitionByRange(ranges, "url_key", "ts", "page_id").sortWithinPartitions("run", "seq")
     return ranged.mapInArrow(_merge, _ENTRY)
 
 
