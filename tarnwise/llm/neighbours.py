@@ -6,8 +6,8 @@ from the two lengths (Cauchy-Schwarz), so a pair whose upper bound is below the
 among the k nearest. The pairs that survive are computed from the original vectors in double precision, and heaps of k merge
 them over the blocks. The result is exact, so its recall is 1.
 
-Queries go out in blocks of QUERIES vectors, a bounded broadcast; every candidate partition meets every block, tile by tile, and
-returns k pairs for each query at most.
+Up to QUERIES query vectors are a bounded broadcast. More of them are dealt in blocks, as are the candidates, and every pair of
+blocks is a group of rows in one stage: tile meets tile, and a group returns k pairs for each query at most.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwise.llm.common import materialize, ship
+from tarnwise.llm.common import lean, materialize, ship, whole_number
 
 QUERIES, TILE = 8192, 2048
+#: Candidates of one task where the queries are too many for one broadcast.
+CANDIDATES = 200_000
 _OUT = "query_id long, vec_id long, score double"
 
 
@@ -85,12 +87,17 @@ class Block:
         own = self.ids[:, None] == ids[None, :]
         low = np.where(own, -np.inf, near - wide)
         floor = self.least
-        if len(ids) > self.k:
+        if len(ids) > self.k and len(np.unique(ids)) == len(ids):
             floor = np.maximum(floor, np.partition(low, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
         a, b = np.nonzero(~own & (near + wide >= floor[:, None]))
         for x, y, s in zip(a.tolist(), ids[b].tolist(), cosines(self.rows[a], rows[b]).tolist()):
             heap, item = self.heaps[x], (s, -y)
-            if len(heap) < self.k:
+            same = next((h for h in heap if h[1] == -y), None)
+            if same is not None:
+                if item > same:
+                    heap[heap.index(same)] = item
+                    heapq.heapify(heap)
+            elif len(heap) < self.k:
                 heapq.heappush(heap, item)
             elif item > heap[0]:
                 heapq.heapreplace(heap, item)
@@ -102,42 +109,101 @@ class Block:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest of vectors for each of queries (both vec_id, embedding), by cosine.
 
-    Ties go to the smaller vec_id. A row with the query's own vec_id is no candidate; a vec_id that repeats is a candidate for
-    each of its rows, and a query for each. Vectors that usable() leaves out take no part; vectors of another dimension are
-    no candidates. Other columns are not read.
+    Ties go to the smaller vec_id. A row with the query's own vec_id is no candidate. Rows with one vec_id are one query or one
+    candidate, which is as near as the nearest of its vectors, and comes once. Vectors that usable() leaves out take no part; vectors of another dimension are no candidates.
+    Ids that are no whole numbers are a TypeError. Other columns are not read.
+
+    Up to QUERIES queries are broadcast, and the candidates stay where they are. With more, blocks of queries and blocks of
+    candidates are dealt as rows of one stage, (query block, candidate block) by task.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows, found = usable(vectors), []
+    whole_number(vectors, "vec_id")
+    whole_number(queries, "vec_id")
+    rows = usable(vectors)
     asked = materialize(usable(queries).dropDuplicates(["vec_id", "embedding"]))
-    blocks = max(1, -(-asked.count() // QUERIES))
-    for part in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == part).toArrow()
-        if not own.num_rows:
-            continue
-        ids = own.column("vec_id").to_numpy()
-        shared = spark.sparkContext.broadcast([(ids[at], x) for at, x in _matrix(own.column("embedding")).values()])
-
-        def join(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            mine = {x.shape[1]: [Block(i[s : s + TILE], x[s : s + TILE], k) for s in range(0, len(i), TILE)] for i, x in shared.value}
-            for b in batches:
+    n = asked.count()
+    found = _dealt(rows, asked, n, k) if n > QUERIES else _sent(rows, asked, k)
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _result(blocks: list[Block]) -> Iterator[pa.RecordBatch]:
+    for block in blocks:
+        got = [(int(q), -y, s) for q, heap in zip(block.ids, block.heaps) for s, y in heap]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+
+def _meet(mine: dict[int, list[Block]], b: pa.RecordBatch) -> None:
+    ids = b.column("vec_id").to_numpy()
+    for d, (at, x) in _matrix(b.column("embedding")).items():
+        for s in range(0, len(at), TILE):
+            for block in mine.get(d, ()):
+                block.meet(ids[at[s : s + TILE]], x[s : s + TILE])
+
+
+def _sent(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    own = asked.toArrow()
+    ids = own.column("vec_id").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast([(ids[at], x) for at, x in _matrix(own.column("embedding")).values()] if own.num_rows else [])
+
+    @lean("neighbours")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = {x.shape[1]: [Block(i[s : s + TILE], x[s : s + TILE], k) for s in range(0, len(i), TILE)] for i, x in shared.value}
+        for b in batches:
+            _meet(mine, b)
+        for blocks in mine.values():
+            yield from _result(blocks)
+
+    return rows.mapInArrow(join, _OUT)
+
+
+def _dealt(rows: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
+    """Every (query block, candidate block) is a group of rows: the queries, marked, then the candidates."""
+    q_blocks = -(-n // QUERIES)
+    c_blocks = max(1, -(-rows.count() // CANDIDATES))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    q = asked.select(F.lit(0).alias("kind"), "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("i")).withColumn("j", every(c_blocks))
+    c = rows.select(F.lit(1).alias("kind"), "vec_id", "embedding", F.pmod(F.xxhash64("embedding", F.lit(7)), F.lit(c_blocks)).cast("int").alias("j")).withColumn("i", every(q_blocks))
+    dealt = q.unionByName(c).repartition(q_blocks * c_blocks, "i", "j").sortWithinPartitions("i", "j", "kind")
+
+    @lean("neighbours")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine, asks = None, None, []
+
+        def build() -> dict[int, list[Block]]:
+            parts: dict[int, list] = {}
+            for b in asks:
                 ids = b.column("vec_id").to_numpy()
                 for d, (at, x) in _matrix(b.column("embedding")).items():
-                    for s in range(0, len(at), TILE):
-                        for block in mine.get(d, ()):
-                            block.meet(ids[at[s : s + TILE]], x[s : s + TILE])
-            for blocks_of in mine.values():
-                for block in blocks_of:
-                    got = [(int(q), -y, s) for q, heap in zip(block.ids, block.heaps) for s, y in heap]
-                    if got:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-        found.append(rows.mapInArrow(join, _OUT))
-    out = found[0] if found else spark.range(0).selectExpr("id query_id", "id vec_id", "cast(0 as double) score")
-    for more in found[1:]:
-        out = out.unionByName(more)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    parts.setdefault(d, []).append((ids[at], x))
+            asks.clear()
+            joined = {d: (np.concatenate([i for i, _ in p]), np.concatenate([x for _, x in p])) for d, p in parts.items()}
+            return {d: [Block(i[s : s + TILE], x[s : s + TILE], k) for s in range(0, len(i), TILE)] for d, (i, x) in joined.items()}
+
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy() for c in ("i", "j", "kind")])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi == lo:
+                    continue
+                i, j, kind = key[:, lo].tolist()
+                if (i, j) != now:
+                    for blocks in (mine or {}).values():
+                        yield from _result(blocks)
+                    now, mine = (i, j), None
+                    asks.clear()
+                if kind == 0:
+                    asks.append(b.slice(lo, hi - lo))
+                    continue
+                mine = build() if mine is None else mine
+                _meet(mine, b.slice(lo, hi - lo))
+        for blocks in (mine or {}).values():
+            yield from _result(blocks)
+
+    return dealt.select("i", "j", "kind", "vec_id", "embedding").mapInArrow(join, _OUT)
 
 
 def op8_int8_block_neighbours(spark, sf_dir: str) -> DataFrame:
