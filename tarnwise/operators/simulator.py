@@ -1,4 +1,4 @@
-"""Portfolio simulation day by day, for what the set form in plans/relations.py can't say: settlement lag, breaker, minimum holding.
+"""Portfolio simulation day by day, for what the set form in setpath.py can't say: settlement lag, breaker, minimum holding.
 
 Runs are independent, so Spark spreads them; inside a run a day needs the day before, so one task folds one run. A task holds
 days x instruments of its run and no more. Each run's settings are a row of `runs`, so any number of variants is one plan.
@@ -109,20 +109,26 @@ def with_settings(runs: DataFrame) -> DataFrame:
 def simulate(market: DataFrame, schedule: DataFrame, targets: DataFrame, runs: DataFrame) -> DataFrame:
     """Daily results (RESULT) of every run.
 
-    market (dt, code, close, r): one row a day and instrument, r null where there is no return. schedule (run_id, dt): rebalance
+    market (dt, code, close, r): one row a day and instrument, r null where there is no return. With a column `market` in both
+    market and runs, each run has the days of its own market; else all runs share the one, and a run more costs its days once more. schedule (run_id, dt): rebalance
     days, also those without a target (they sell everything). targets (run_id, dt, code, w). runs (run_id and any of SETTINGS).
     Days without any price don't count. Instruments that only targets name earn nothing. Null run ids take no part; an empty
     market or no runs give no rows. Holdings are null on days without trade or rebalance.
     """
+    many = ["market"] if "market" in market.columns else []
     by_day = (
-        market.where("dt is not null and code is not null").groupBy("dt")
+        market.where("dt is not null and code is not null").groupBy(*many, "dt")
         .agg(F.collect_list(F.struct("code", F.col("close").isNotNull().alias("priced"), F.coalesce("r", F.lit(0.0)).alias("r"))).alias("x"), F.count("close").alias("n"))
-        .where("n > 0").select("dt", F.col("x.code").alias("codes"), F.col("x.priced").alias("priced"), F.col("x.r").alias("r"))
+        .where("n > 0").select(*many, "dt", F.col("x.code").alias("codes"), F.col("x.priced").alias("priced"), F.col("x.r").alias("r"))
     )
     book = normalize(targets).groupBy("run_id", "dt").agg(F.collect_list("code").alias("to_codes"), F.collect_list("w").alias("to_w"))
     orders = schedule.where("run_id is not null").select("run_id", "dt").distinct().join(book, ["run_id", "dt"], "left").withColumn("rebal", F.lit(True))
     settings = with_settings(runs.where("run_id is not null")).select("run_id", F.struct(*SETTINGS).alias("run"))
-    rows = by_day.crossJoin(settings).join(orders, ["run_id", "dt"], "left")
+    if many:
+        rows = by_day.join(settings.join(runs.select("run_id", "market"), "run_id"), "market").drop("market")
+    else:
+        rows = by_day.crossJoin(settings)
+    rows = rows.join(orders, ["run_id", "dt"], "left")
 
     def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("dt", ignore_index=True)
@@ -173,12 +179,13 @@ def strategy_targets(panel: DataFrame, schedule: DataFrame, make: Callable[[str]
 
 
 class Blend:
-    """Passive control: fixed weights over the members with enough history, scaled to 1; nothing if there are none."""
+    """Passive control: fixed weights over the members with enough history, scaled to 1; nothing if there are none. Without weights all instruments count alike."""
 
-    def __init__(self, weights: dict[str, float], history: int = 20):
+    def __init__(self, weights: dict[str, float] | None = None, history: int = 20):
         self.weights, self.history = weights, history
 
     def target_weights(self, prices: pd.DataFrame, asof: pd.Timestamp) -> dict[str, float]:
         seen = prices.count()
-        ready = {c: w for c, w in self.weights.items() if seen.get(c, 0) >= self.history}
+        weights = dict.fromkeys(prices.columns, 1.0) if self.weights is None else self.weights
+        ready = {c: w for c, w in weights.items() if seen.get(c, 0) >= self.history}
         return {c: w / sum(ready.values()) for c, w in ready.items()}

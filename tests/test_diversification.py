@@ -2,9 +2,7 @@ import math
 
 import duckdb
 import numpy as np
-import pytest
 
-from tarnwise.functions import markdown
 from tarnwise.operators.diversification import effective_bets, protect
 from tarnwise.plans import catalog, folds
 from tests.test_panel import SF, plain
@@ -54,20 +52,3 @@ def test_peak_floor_gives_the_rows_of_its_sql(spark):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = folds.queries()["peak_floor"](spark, SF).toPandas(), con.sql(folds.oracle_sql()["peak_floor"]).df()
     assert plain(got) == plain(want) and len(got)
-
-
-@pytest.fixture(scope="module")
-def files(spark):
-    a = "# Top\n\n## A & B\n## A & B\n### `code` **bold** ★\n[x](#top) [y](#a--b-1) [z](#a--b-2) [w](sub/b.md#über-uns) [e](https://x.y) [n](#code-bold-)"
-    b = "## Über uns ##\n[up](../a.md#top) [gone](../c.md) [pic](p.png) [no](../a.md#nope)"
-    return spark.createDataFrame([("a.md", a), ("sub/b.md", b), ("empty.md", None)], "path string, body string")
-
-
-def test_anchors(files):
-    got = {(r.path, r.anchor) for r in markdown.anchors(files).collect()}
-    assert got == {("a.md", "top"), ("a.md", "a--b"), ("a.md", "a--b-1"), ("a.md", "code-bold-"), ("sub/b.md", "über-uns")}
-
-
-def test_broken_links(spark, files):
-    got = {tuple(r) for r in markdown.broken_links(files, spark.createDataFrame([("sub/p.png",)], "path string")).collect()}
-    assert got == {("a.md", "#a--b-2", "anchor"), ("sub/b.md", "../c.md", "file"), ("sub/b.md", "../a.md#nope", "anchor")}

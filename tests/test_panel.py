@@ -5,12 +5,12 @@ import pytest
 from tarnwise.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["panel_vwap", "returns_engine", "schedule_weekly", "passive_targets", "backtest_gross", "backtest_turnover", "metrics_by_run", "regime_label", "timing_luck", "qc_gaps", "snapshot_orders", "n_eff"]
+NAMES = ["panel_densify", "schedule_weekly", "backtest_gross", "backtest_turnover", "metrics_by_run", "regime_report", "timing_luck", "fixture_yield_verdicts", "fixture_findings", "reconcile_strategy", "reconcile_data", "n_eff", "strategy_hysteresis", "broken_links", "count_claims"]
 
 
 def plain(df: pd.DataFrame) -> list:
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return ""
         if isinstance(v, (int, float)) and not isinstance(v, bool):
             return f"{float(v):.6g}"
@@ -35,7 +35,7 @@ def test_double_cost_is_worse_by_cost_times_turnover(spark):
 
 def test_weekly_schedule_holds_the_first_day_of_every_month(spark):
     weekly = {r.dt for r in catalog.queries()["schedule_weekly"](spark, SF).collect()}
-    assert {r.dt for r in catalog.queries()["schedule_monthly_off0"](spark, SF).collect()} <= weekly
+    assert {r.dt for r in catalog.queries()["schedule_monthly"](spark, SF).where("off = 0").collect()} <= weekly
 
 
 def test_targets_are_long_only_and_full(spark):

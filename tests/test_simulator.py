@@ -154,7 +154,7 @@ def test_config_is_found_above_and_holdable_is_the_default(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     config = files.load_config(files.find_config(tmp_path / "a" / "b"))
     assert {x.code: x.holdable for x in config.universe(spark).collect()} == {"510300": True, "B": False}
-    assert files.unfilled({"a": ["TODO: x", "y"], "b": {"c": "TODO"}}) == ["a[0]", "b.c"]
+    assert files.unfilled({"a": ["TODO: x", "y", "not a TODO"], "b": {"c": "TODO"}, "d": [{"e": " TODO"}]}) == ["a[0]", "b.c", "d[0].e"]
 
 
 def test_snapshots_are_appended_once(spark, tmp_path):
