@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tarnwise.llm import bpe, chat, decontaminate, jaccard, language, neighbours, sharding, substrings, url_filter, warc
+from tarnwise.llm import bpe, chat, decontaminate, jaccard, language, neighbours, oracles, sharding, substrings, url_filter, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -24,4 +24,10 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_int8_block_neighbours": neighbours.OP8_SQL}
+    return {
+        "op3_chat_round_trip": oracles.OP3,
+        "op4_warc_index_merge": oracles.OP4,
+        "op8_int8_block_neighbours": neighbours.OP8_SQL,
+        "op9_jaccard_metric_join": oracles.OP9,
+        "op10_suffix_automaton_decontamination": oracles.OP10,
+    }

@@ -291,4 +291,4 @@ def op4_warc_index_merge(spark, sf_dir: str) -> DataFrame:
     """
     path = shared_dir(spark)
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "archive", "offset")
+    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
