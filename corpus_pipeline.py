@@ -1,7 +1,12 @@
 """From documents to token ids: language, near duplicates, repeated passages, benchmark passages, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. SQL can't express the stages; the
-tests hold the Jaccard join, decontamination and BPE against brute force, the other stages and the whole against planted cases.
+tests hold the Jaccard join, decontamination, chunks and BPE against brute force, and the whole against planted cases.
+
+Null, empty and blank texts have no letter and go in the first stage; where later stages are given them, they stay as they are,
+but blank ones that the second leaves alone. Rows with a null doc_id pass the joins untouched. Repeated rows are equal texts with
+one id: they have the same fate, and all of them stay or go. Very long texts are worked through in parts. Empty tables give
+empty tables. Columns that operators use for their own are kept.
 """
 
 from __future__ import annotations
