@@ -38,6 +38,8 @@ EPS = 1 - PERCENT / 100
 #: Shingles and documents in one side of a task; bytes of texts of an in-batch count, its least count, and the least sum of such counts of a frequent shingle.
 LARGE, MEMBERS, BATCH, OFTEN, FREQUENT = 1_000_000, 1_000, 8 << 20, 4, 24
 BITS = 22
+#: A key with over a SHARE-th of all rows is hot: there are fewer than SHARE of them, so their lookup rows may be broadcast at any size of the corpus.
+SHARE = 1000
 
 
 def shingles(texts: list[str | None], n: int = N) -> list[np.ndarray]:
@@ -142,10 +144,21 @@ def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row of each key. Its column `weight` is no less than the number of rows with the key, and sums to total at most.
+
+    Rows of hot keys meet their broadcast lookup row where they lie, so a shuffled key has a SHARE-th of all rows at most.
+    """
+    bar = total / SHARE
+    hot = F.broadcast(table.where(F.col("weight") > bar).drop("weight"))
+    rest = rows.join(hot, on, "left_anti").join(table.where(F.col("weight") <= bar).drop("weight"), on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def placed(cells: DataFrame) -> DataFrame:
     """cells (pivot, node, n) with task numbers i <= j. A region's blocks hold about LARGE shingles or MEMBERS documents; block k meets every block, alone it meets itself."""
-    load = cells.groupBy("pivot").agg(F.ceil(F.greatest(F.sum(F.col("n").cast("long")) / LARGE, F.count("*") / MEMBERS)).cast("int").alias("blocks"))
-    dealt = cells.join(load, "pivot").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    load = cells.groupBy("pivot").agg(F.ceil(F.greatest(F.sum(F.col("n").cast("long")) / LARGE, F.count("*") / MEMBERS)).cast("int").alias("blocks"), F.count("*").alias("weight"))
+    dealt = looked_up(cells, load, ["pivot"], cells.count()).withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select("pivot", "node", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"))
 
@@ -279,10 +292,10 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")).withColumn("m", F.least("u", "m"))
+        large = looked_up(both, least, ["u"], 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
+        small = looked_up(large, low, ["u"], 2 * now[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = materialize(small)
     return edges.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("component"))
 
@@ -334,7 +347,7 @@ def components(docs: DataFrame) -> DataFrame:
     signed = seen.groupBy(F.col("lo").alias("node"), "hi", "n").agg(F.min("signature").alias("signature")).drop("hi")
     tested = placed(cells).join(signed, "node").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").select("pivot", "i", "j", "node", "n", "signature")
     cells = materialize(tested.mapInArrow(_sieved, "pivot long, node long, n int").distinct())
-    reps = seen.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
+    reps = materialize(seen.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")))
     wanted = reps.join(cells.select(F.col("node").alias("lo")).distinct(), "lo", "left_semi").select("rep")
     asked = spark.sparkContext.broadcast(bitmap(wanted, "rep", BITS))
 
@@ -354,9 +367,15 @@ def components(docs: DataFrame) -> DataFrame:
     held = rows.where("doc_id is not null").mapInArrow(sets, "doc_id long, node long, shingles binary")
     tasks = placed(cells).join(held, "node").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "doc_id").select("pivot", "i", "j", "doc_id", "shingles")
     links = tasks.mapInArrow(_regions, "a long, b long")
-    alike = known.drop("signature").join(reps, ["hi", "lo", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).where("doc_id <> rep")
-    joined = connected(links.unionByName(alike.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    return known.drop("signature").join(joined, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    known, total = known.drop("signature"), known.count()
+    full, empty = known.where("n > 0 and doc_id is not null"), known.where("n = 0 or doc_id is null")
+    several = known.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n")).alias("a"), F.max(F.struct("hi", "lo", "n")).alias("b"), F.count("*").alias("weight")).where("a <> b").drop("a", "b")
+    twins = looked_up(looked_up(full, several, ["doc_id"], total), reps, ["hi", "lo", "n"], total)
+    joined = materialize(connected(links.unionByName(twins.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))))
+    alike = reps.join(joined.withColumnRenamed("doc_id", "rep"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component"), "weight")
+    lone = empty.groupBy("doc_id").agg(F.count("*").alias("weight")).join(joined, "doc_id")
+    out = looked_up(full, alike, ["hi", "lo", "n"], total).unionByName(looked_up(empty, lone, ["doc_id"], total, "left"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -269,6 +269,28 @@ def test_jaccard_of_a_large_group_in_blocks(spark, monkeypatch):
     assert got == {0, 500}
 
 
+@pytest.mark.parametrize("share", [1000, 6, 0.5])
+def test_jaccard_of_hot_groups_and_repeated_ids(spark, monkeypatch, share):
+    """All keys broadcast, hot ones only, none: a third are copies of one text, a third near copies; ids come again with another text, with none, and are null."""
+    monkeypatch.setattr(jaccard, "SHARE", share)
+    rnd = random.Random(12)
+    base, others = [rnd.choice(WORDS) for _ in range(50)], [" ".join(rnd.choice(WORDS) for _ in range(40)) for _ in range(30)]
+    near = [" ".join(base[:k] + [f"y{k}"] + base[k + 1 :]) for k in range(40)]
+    rows = [(700 + k, others[0]) for k in range(40)] + [(600 - k, t) for k, t in enumerate(near)] + [(100 + k, t) for k, t in enumerate(others)]
+    rows += [(90, others[3]), (90, others[4]), (95, ""), (95, others[5]), (95, None), (80, ""), (80, None), (None, others[6]), (None, None), (85, others[7]), (85, others[7])]
+    links = {i: {i} for i, _ in rows if i is not None}
+    full = [(i, x) for i, t in rows if i is not None and (x := sets(t))]
+    for i, x in full:
+        for j, y in full:
+            if 100 * len(x & y) >= 75 * len(x | y) and links[i] is not links[j]:
+                links[i] |= links[j]
+                for k in links[i]:
+                    links[k] = links[i]
+    want = Counter((i, len(sets(t)), None if i is None else min(links[i])) for i, t in rows)
+    got = jaccard.components(docs(spark, [(i, t, "en") for i, t in rows])).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_pipeline_stages_take_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
