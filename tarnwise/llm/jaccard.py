@@ -353,6 +353,7 @@ def components(docs: DataFrame) -> DataFrame:
 
     @lean("jaccard")
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, tuple[int, int]]] = set()
         for b in batches:
             ids = b.column("doc_id").to_numpy()
             at = np.flatnonzero(in_bitmap(asked.value, ids))
@@ -361,8 +362,10 @@ def components(docs: DataFrame) -> DataFrame:
             some = b.take(pa.array(at))
             texts, ids = some.column("text").to_pylist(), ids[at]
             for lo, hi in slices([x or "" for x in texts]):
-                got = shingles(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array([digest(x)[1] for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "node", "shingles"])
+                new = {key: x for doc, x in zip(ids[lo:hi].tolist(), shingles(texts[lo:hi])) if (key := (doc, digest(x))) not in seen}
+                seen.update(new)
+                cols = [pa.array([k[0] for k in new], pa.int64()), pa.array([k[1][1] for k in new], pa.int64()), pa.array([x.tobytes() for x in new.values()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "shingles"])
 
     held = rows.where("doc_id is not null").mapInArrow(sets, "doc_id long, node long, shingles binary")
     tasks = placed(cells).join(held, "node").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "doc_id").select("pivot", "i", "j", "doc_id", "shingles")
