@@ -4,7 +4,9 @@ r"""Exact n-gram Jaccard join as a join in a metric space.
 1 from each other and from any pivot, where no triangle inequality tells them apart; so the space is first cut by anchors.
 A document's anchors are the first n - ceil(0.75 n) + 1 of its n shingles in one fixed order of all shingles; linked documents
 share an anchor. Of the documents with an anchor the least one is its pivot, and all of them belong to the pivot's region: a
-document lies in the region of every pivot that it shares an anchor with, so a linked pair always meets.
+document lies in the region of every pivot that it shares an anchor with, so a linked pair always meets. The few shingles that
+make up over a HOT-th of all are given their pivot, a document that has them, before anchors are sent: documents that have
+one as an anchor need not meet in one task to learn their region.
 
 A sieve drops the documents of a region that can't link with any other of it: their counts of shingles by hash class, a thirtieth
 of the size of their sets, bound the distance from below. What is left falls into parts that can't link with each other; a part
@@ -40,6 +42,8 @@ LARGE, MEMBERS, BATCH, OFTEN, FREQUENT = 1_000_000, 1_000, 8 << 20, 4, 24
 BITS = 22
 #: A key with over a SHARE-th of all rows is hot: there are fewer than SHARE of them, so their lookup rows may be broadcast at any size of the corpus.
 SHARE = 1000
+#: A shingle that makes up over a HOT-th of all shingles of all documents is hot; there are fewer than HOT of them.
+HOT = 100_000
 
 
 def shingles(texts: list[str | None], n: int = N) -> list[np.ndarray]:
@@ -165,23 +169,40 @@ def placed(cells: DataFrame) -> DataFrame:
 
 @lean("jaccard")
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (doc_id, n, hi, lo, signature) and of shingles that are frequent here (s, c)."""
-    names = ["doc_id", "n", "hi", "lo", "signature", "s", "c"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    """Rows of documents (doc_id, n, hi, lo, signature) and of shingles that are frequent here (s, c, m: the least document that has it)."""
+    names = ["doc_id", "n", "hi", "lo", "signature", "s", "c", "m"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     for b in batches:
         texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
         for lo, hi in slices([x or "" for x in texts], BATCH):
             sets = shingles(texts[lo:hi])
             keys = [digest(x) for x in sets]
             distinct = {k: x for k, x in zip(keys, sets)}
-            s, c = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-            s, c = s[c >= OFTEN].view(np.int64), c[c >= OFTEN]
+            flat = np.concatenate(list(distinct.values()))
+            s, c = np.unique(flat, return_counts=True)
+            s, c = s[c >= OFTEN], c[c >= OFTEN]
+            m = np.full(len(s), np.iinfo(np.int64).max)
+            if len(s):
+                at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
+                hit = s[at] == flat
+                np.minimum.at(m, at[hit], np.repeat(np.array([k[1] for k in distinct]), [len(x) for x in distinct.values()])[hit])
             docs = [ids[lo:hi], [len(x) for x in sets], [k[0] for k in keys], [k[1] for k in keys], [signature(x) for x in sets]]
             pad = [None] * len(s)
-            cols = [*(x + pad for x in docs), [None] * (hi - lo) + s.tolist(), [None] * (hi - lo) + c.tolist()]
+            cols = [*(x + pad for x in docs), *([None] * (hi - lo) + x.tolist() for x in (s.view(np.int64), c, m))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=names)
 
 
+def spread(s: np.ndarray, node: np.ndarray, size: np.ndarray, hot: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
+    """Anchors as rows (s, node, n, pivot). Those in hot (sorted) have their pivot already, once a document, and a key of their own, so that no key is hot."""
+    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+    known = hot[at] == s if len(hot) else np.zeros(len(s), bool)
+    some = np.unique(np.stack([pivots[at[known]], node[known], size[known]], 1), axis=0) if known.any() else np.zeros((0, 3), np.int64)
+    own = mix(mix(some[:, 0].view(np.uint64)) ^ some[:, 1].view(np.uint64)).view(np.int64) if len(some) else some[:, 0]
+    cols = [np.concatenate(x) for x in ((s[~known], own), (node[~known], some[:, 1]), (size[~known], some[:, 2].astype(np.int32)))]
+    pivot = pa.array(np.concatenate([node[~known], some[:, 0]]), mask=np.arange(len(cols[0])) < np.count_nonzero(~known))
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pivot], names=["s", "node", "n", "pivot"])
+
+
 class Region:
     """Documents of one task: sorted shingle sets; joined() gives each document the least connected one."""
 
@@ -312,10 +333,13 @@ def components(docs: DataFrame) -> DataFrame:
     ship(spark)
     whole_number(docs, "doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = materialize(rows.mapInArrow(_profile, "doc_id long, n int, hi long, lo long, signature binary, s long, c long"))
+    profile = materialize(rows.mapInArrow(_profile, "doc_id long, n int, hi long, lo long, signature binary, s long, c long, m long"))
     known = profile.where("n is not null").select("doc_id", "n", "hi", "lo", "signature")
-    frequent = profile.where("c is not null").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
+    frequent = materialize(profile.where("c is not null").groupBy("s").agg(F.sum("c").alias("c"), F.min("m").alias("m")).where(F.col("c") >= FREQUENT))
     late = spark.sparkContext.broadcast(bitmap(frequent, "s", BITS))
+    bar = (known.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) / HOT
+    table = frequent.where(F.col("c") > bar).select("s", "m").toPandas().sort_values("s")
+    hot = spark.sparkContext.broadcast((table["s"].to_numpy(np.int64), table["m"].to_numpy(np.int64)))
 
     @lean("jaccard")
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,11 +362,11 @@ def components(docs: DataFrame) -> DataFrame:
                     node.append(np.full(most, key[1]))
                     size.append(np.full(most, len(x), np.int32))
                 if s:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))], names=["s", "node", "n"])
+                    yield spread(np.concatenate(s).view(np.int64), np.concatenate(node), np.concatenate(size), *hot.value)
 
-    found = rows.where("doc_id is not null").mapInArrow(anchors, "s long, node long, n int")
-    met = found.selectExpr("s", "node", "n", "min(node) over (partition by s) pivot", "max(node) over (partition by s) last").where("pivot <> last")
-    cells = materialize(met.select("pivot", "node", "n").distinct())
+    found = rows.where("doc_id is not null").mapInArrow(anchors, "s long, node long, n int, pivot long")
+    met = found.selectExpr("node", "n", "pivot", "min(node) over (partition by s) least", "max(node) over (partition by s) last").where("pivot is not null or least <> last")
+    cells = materialize(met.selectExpr("coalesce(pivot, least) pivot", "node", "n").distinct())
     seen = known.where("n > 0 and doc_id is not null")
     signed = seen.groupBy(F.col("lo").alias("node"), "hi", "n").agg(F.min("signature").alias("signature")).drop("hi")
     tested = placed(cells).join(signed, "node").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").select("pivot", "i", "j", "node", "n", "signature")

@@ -277,9 +277,11 @@ def sets(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_jaccard_components_match_brute_force(spark):
+@pytest.mark.parametrize("families", [12, 2])
+def test_jaccard_components_match_brute_force(spark, families):
+    """Of two families the shingles are hot: their pivots are known before anchors are sent."""
     rnd = random.Random(8)
-    base = [[f"w{rnd.randint(0, 400)}" for _ in range(rnd.randint(4, 60))] for _ in range(12)]
+    base = [[f"w{rnd.randint(0, 400)}" for _ in range(rnd.randint(4, 60))] for _ in range(families)]
     rows = []
     for k in range(160):
         w = list(rnd.choice(base))
@@ -305,6 +307,15 @@ def test_jaccard_components_match_brute_force(spark):
     assert len(jaccard.components(docs(spark, ODD)).collect()) == len(ODD)
 
 
+def test_hot_anchors_have_their_pivot_and_a_key_of_their_own():
+    s, node, size = np.array([3, 5, 9, 5, 7, 9]), np.array([20, 20, 20, 30, 30, 40]), np.array([8, 8, 8, 9, 9, 2], np.int32)
+    rows = jaccard.spread(s, node, size, np.array([5, 9]), np.array([11, 11])).to_pylist()
+    assert [(r["s"], r["node"], r["n"], r["pivot"]) for r in rows[:2]] == [(3, 20, 8, None), (7, 30, 9, None)]
+    assert [(r["node"], r["n"], r["pivot"]) for r in rows[2:]] == [(20, 8, 11), (30, 9, 11), (40, 2, 11)] and len({r["s"] for r in rows}) == 5
+    none = np.zeros(0, np.int64)
+    assert jaccard.spread(s, node, size, none, none).column("s").to_pylist() == s.tolist()
+
+
 def test_region_recursion_and_pairs_agree():
     rnd = np.random.default_rng(9)
     family = [np.unique(rnd.integers(0, 1 << 60, 120, dtype=np.uint64)) for _ in range(4)]
