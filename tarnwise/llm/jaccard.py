@@ -178,14 +178,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingles(texts[lo:hi])
             keys = [digest(x) for x in sets]
             distinct = {k: x for k, x in zip(keys, sets)}
-            flat = np.concatenate(list(distinct.values()))
-            s, c = np.unique(flat, return_counts=True)
+            s, c = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
             s, c = s[c >= OFTEN], c[c >= OFTEN]
-            m = np.full(len(s), np.iinfo(np.int64).max)
-            if len(s):
-                at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
-                hit = s[at] == flat
-                np.minimum.at(m, at[hit], np.repeat(np.array([k[1] for k in distinct]), [len(x) for x in distinct.values()])[hit])
+            m = np.zeros(len(s), np.int64)
+            for key in sorted(distinct, key=lambda k: -k[1]) if len(s) else ():
+                at = np.minimum(np.searchsorted(s, distinct[key]), len(s) - 1)
+                m[at[s[at] == distinct[key]]] = key[1]
             docs = [ids[lo:hi], [len(x) for x in sets], [k[0] for k in keys], [k[1] for k in keys], [signature(x) for x in sets]]
             pad = [None] * len(s)
             cols = [*(x + pad for x in docs), *([None] * (hi - lo) + x.tolist() for x in (s.view(np.int64), c, m))]
