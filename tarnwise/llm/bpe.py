@@ -23,6 +23,8 @@ from tarnwise.llm.common import claim, held, ship, trim
 
 #: Pieces, and pairs of tokens, that a worker keeps.
 KEPT = 100_000
+#: Characters of a kept piece and its ids that count as one more piece.
+LONG = 128
 #: Characters of a long text that are split at once, and of texts whose new pieces are encoded together.
 PART = BATCH = 1 << 20
 
@@ -148,43 +150,53 @@ class Table:
         return self.encoder.read(self.last)
 
 
-class Kept(dict):
-    """Remembers make(key) for the last KEPT to 2 * KEPT keys: the older half goes when the newer is full."""
+class Pieces(dict):
+    """Decimal ids of each piece, joined by commas, of the last KEPT to 2 * KEPT pieces, fewer if they are long: the older half goes when the newer is full."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        if len(self) >= KEPT:
-            self.old = dict(self)
-            self.clear()
-        got = self.old.get(key)
-        out = self[key] = self.make(key) if got is None else got
-        return out
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.old, self.size = encoder, {}, 0
 
+    def keep(self, piece: str, ids: str) -> None:
+        self[piece] = ids
+        self.size += 1 + (len(piece) + len(ids)) // LONG
 
-class Pieces(Kept):
-    """Decimal ids of each piece, joined by commas."""
+    def turn(self) -> None:
+        """If the newer half is full, it becomes the older one."""
+        if self.size >= KEPT:
+            self.old, self.size = dict(self), 0
+            self.clear()
 
-    def __init__(self, encoder: Encoder):
-        super().__init__(lambda piece: ",".join(map(str, encoder.encode_piece(piece.encode()))))
-        self.encoder = encoder
+    def __missing__(self, piece: str) -> str:
+        self.turn()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = ",".join(map(str, self.encoder.encode_piece(piece.encode())))
+        self.keep(piece, ids)
+        return ids
 
     def learn(self, found: set[str]) -> None:
-        """Encodes the new ones of many pieces in byte order, so that neighbours share the entries of their common prefix."""
-        new = sorted(p.encode() for p in found if p not in self and p not in self.old)
+        """Brings many pieces into the newer half, beyond its bound if need be. New ones are encoded in byte order, so that neighbours share the entries of their common prefix."""
+        self.turn()
+        new = []
+        for p in found:
+            if p not in self:
+                if (ids := self.old.get(p)) is None:
+                    new.append(p.encode())
+                else:
+                    self.keep(p, ids)
+        new.sort()
         for data, ids in zip(new, self.encoder.encode_pieces(new)):
-            self[data.decode()] = ",".join(map(str, ids))
+            self.keep(data.decode(), ",".join(map(str, ids)))
 
 
 def loaded(path: str) -> tuple:
-    """Ids of each piece (decimal, joined by commas), bytes of such ids, and the compiled pattern."""
+    """Ids of each piece (decimal, joined by commas), bytes of each id, and the compiled pattern."""
 
     def make() -> tuple:
         import public_tokenizers
 
         encoder = Encoder(load_ranks(path))
-        return Pieces(encoder), Kept(lambda ids: b"".join(encoder.bytes_of[int(k)] for k in ids.split(","))), regex.compile(public_tokenizers.PATTERN)
+        return Pieces(encoder), encoder.bytes_of, regex.compile(public_tokenizers.PATTERN)
 
     return held(f"bpe {path}", make)
 
@@ -239,8 +251,8 @@ def split_texts(texts: pa.Array, path: str) -> Iterator[Iterator[list[str]]]:
     yield from give()
 
 
-def decode_ids(ids: list[str], path: str) -> bytes:
-    return b"".join(map(loaded(path)[1].__getitem__, ids))
+def decode_ids(ids: np.ndarray, path: str) -> bytes:
+    return b"".join(map(loaded(path)[1].__getitem__, ids.tolist()))
 
 
 def tokenize(docs: DataFrame, path: str | None = None, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -261,11 +273,12 @@ def tokenize(docs: DataFrame, path: str | None = None, keep: list[str] | None =
                 n, a, d, got = 0, hashlib.sha256(), hashlib.sha256(), []
                 for pieces in found:
                     part = ",".join(pieces)
+                    ids = np.fromstring(part, np.int32, sep=",")
                     a.update((b"," if n else b"") + part.encode())
-                    n += part.count(",") + 1
-                    d.update(decode_ids(pieces, path))
+                    n += len(ids)
+                    d.update(decode_ids(ids, path))
                     if with_ids:
-                        got.append(np.fromstring(part, np.int32, sep=","))
+                        got.append(ids)
                 count.append(n)
                 ids_sha.append(a.hexdigest())
                 text_sha.append(d.hexdigest())

@@ -257,6 +257,29 @@ def test_bpe_tables_after_edits():
         assert t.data == b[:i] + x + b[j:] and t.last == bpe.Table(enc, t.data).last and t.ids() == enc.merge(t.data)
 
 
+def test_bpe_keeps_a_bounded_number_of_pieces(monkeypatch):
+    import pyarrow as pa
+
+    path, rnd = bpe.rank_file(), random.Random(7)
+    monkeypatch.setattr(bpe, "KEPT", 100)
+    monkeypatch.setattr(bpe, "BATCH", 400)
+    monkeypatch.setattr(common, "_HELD", {})
+    pieces, bytes_of, pattern = bpe.loaded(path)
+    enc = bpe.Encoder(bpe.load_ranks(path))
+    texts, most = [" ".join("".join(rnd.choice("abethion") for _ in range(rnd.randint(1, 9))) for _ in range(20)) for _ in range(400)], 0
+    for text, found in zip(texts, bpe.split_texts(pa.array(texts), path), strict=True):
+        got = [ids for part in found for ids in part]
+        assert got == [",".join(map(str, enc.encode_piece(p.encode()))) for p in pattern.findall(text)]
+        most = max(most, len(pieces) + len(pieces.old))
+    assert most < 600  # 100 and those of one batch, twice; there are over 5,000 in all
+    for k in range(50):  # long ones count as several
+        pieces.learn({"ab" * 2000 + str(k)})
+        assert len(pieces) + len(pieces.old) < 600
+    assert sum(map(len, [*pieces, *pieces.old])) < 40_000
+    ids = np.array(enc.encode_piece("naïve".encode()), np.int32)
+    assert bpe.decode_ids(ids, path) == "naïve".encode()
+
+
 def test_neighbours_are_exact(spark):
     rnd = np.random.default_rng(7)
     x = rnd.normal(size=(300, 8))
